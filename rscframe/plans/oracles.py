@@ -1,3 +1,65 @@
 """SQL that the queries of ``registry`` are held against."""
 
-SQL: dict[str, str] = {}
+_LOG = """WITH log AS (SELECT event_type AS domain, event_id AS seq, CAST((event_id * 7919) % 1024 AS DOUBLE) / 1024.0 AS score, CASE WHEN user_id % 11 = 0 THEN 0 ELSE 5 END AS n_chunks, event_id % 3 AS attempt FROM events),
+l AS (SELECT *, CAST(score AS DOUBLE) AS sc FROM log WHERE n_chunks > 0)"""
+
+SQL: dict[str, str] = {
+    "find_all_by_keys": "SELECT p_partkey % 40 AS page_id, p_partkey, p_name, p_retailprice FROM part",
+    "find_any_keys": "SELECT p_partkey, p_brand FROM part",
+    "find_by_key_pattern": "SELECT p_partkey FROM part",
+    "find_by_type": "SELECT p_partkey, p_size FROM part WHERE p_size = 7",
+    "find_all_predicate": "SELECT p_partkey FROM part WHERE p_retailprice > 950",
+    "find_by_keys_first": "SELECT p_partkey % 40 AS page_id, min(p_partkey) AS p_partkey FROM part GROUP BY 1",
+    "find_all_by_keys_dedupe": "SELECT s_suppkey % 10 AS page_id, s_suppkey, s_name FROM supplier",
+    "find_text": "SELECT DISTINCT p_partkey % 40 AS page_id, p_brand AS text FROM part WHERE p_brand LIKE 'Brand#1%'",
+    "chunk_keys": """
+WITH r AS (SELECT s_suppkey % 10 AS page_id, 's' || (s_suppkey % 5) AS chunk_id, s_suppkey AS o, g FROM supplier, (VALUES (0), (1)) v(g)),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, chunk_id ORDER BY g, o) AS nth FROM r)
+SELECT page_id, CASE WHEN nth = 1 THEN chunk_id ELSE chunk_id || '#' || nth END AS chunk_key, chunk_id, 'json' AS kind, 'dict' AS value_type FROM n""",
+    "resolve_references": "SELECT o_custkey % 100 AS page_id, o_orderkey AS order_key, o_orderdate AS placed, o_totalprice AS total, c_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey",
+    "text_rows": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS digest, 'ok' AS status FROM documents WHERE text IS NOT NULL",
+    "text_reference": "SELECT doc_id, md5(text) AS digest, CAST(NULL AS VARCHAR) AS missing FROM documents WHERE text IS NOT NULL",
+    "nodes": """
+SELECT 0 AS depth, 'dict' AS ntype, count(*) AS n, count(*) AS n_first, 0 AS n_scalar FROM part
+UNION ALL SELECT 1, 'str', 3 * count(*), 3 * count(*), 3 * count(*) FROM part
+UNION ALL SELECT 1, 'int', 2 * count(*), 2 * count(*), 2 * count(*) FROM part
+UNION ALL SELECT 1, 'float', count(*), count(*), count(*) FROM part""",
+    "page_stats": """
+SELECT c_custkey % 60 AS page_id, count(*) AS chunk_count, count(*) FILTER (c_custkey % 7 NOT IN (0, 1)) AS json_chunk_count, count(*) FILTER (c_custkey % 7 IN (0, 1)) AS type_str,
+  count(*) FILTER (c_custkey % 7 > 2) AS type_dict, count(*) FILTER (c_custkey % 7 = 2) AS type_list FROM customer GROUP BY 1""",
+    "parse_confidence": "SELECT c_custkey % 60 AS page_id, count(*) AS n_judged, count(*) FILTER (c_custkey % 7 IN (0, 1)) AS n_raw, round(count(*) FILTER (c_custkey % 7 NOT IN (0, 1)) / count(*), 6) AS score FROM customer GROUP BY 1",
+    "page_diff": """
+SELECT p_partkey % 40 AS page_id, 'k' || p_partkey || '.p_retailprice' AS path,
+  CASE WHEN p_partkey % 13 = 0 THEN 'added' WHEN p_partkey % 11 = 0 THEN 'removed' ELSE 'changed' END AS change
+FROM part WHERE (p_partkey % 13 = 0) <> (p_partkey % 11 = 0) OR (p_partkey % 7 = 0 AND p_partkey % 13 <> 0 AND p_partkey % 11 <> 0)""",
+    "throttle": f"""{_LOG},
+r AS (SELECT *, avg(sc) OVER w AS rolling, count(*) OVER w AS n FROM l WINDOW w AS (PARTITION BY domain ORDER BY seq ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+t AS (SELECT *, n >= 3 AND rolling < 0.45 AS throttled FROM r),
+b AS (SELECT *, coalesce(lag(throttled) OVER (PARTITION BY domain ORDER BY seq), false) AS before FROM t)
+SELECT domain, seq, round(rolling, 6) AS rolling, throttled, CASE WHEN throttled AND NOT before THEN 'enter' WHEN before AND NOT throttled THEN 'leave' END AS step FROM b""",
+    "drift": f"""{_LOG},
+r AS (SELECT *, avg(sc) OVER w AS m, count(*) OVER w AS n FROM l WINDOW w AS (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT domain, seq, round(m, 6) AS mean_before FROM r WHERE n >= 5 AND m - sc >= 0.3""",
+    "running_confidence": f"""{_LOG}
+SELECT domain, seq, round(round(avg(sc) OVER (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4), 3) AS avg_confidence FROM l""",
+    "crawl_stats": f"""{_LOG}
+SELECT count(*) FILTER (n_chunks > 0) AS with_data, count(*) FILTER (n_chunks = 0) AS without_data, (SELECT round(avg(sc), 4) FROM l) AS avg_confidence FROM log""",
+    "retries": f"{_LOG} SELECT domain, seq, CAST(attempt + 1 AS INTEGER) AS attempt FROM l WHERE sc < 0.5 AND attempt < 2",
+    "crawl_dedupe": "SELECT min(event_id) AS seq FROM events GROUP BY user_id, event_type",
+    "locale": """
+SELECT page_id, nullif(regexp_extract(html, '<html[^>]+lang=["'']([a-zA-Z0-9_-]+)["'']', 1), '') AS locale,
+  CASE WHEN regexp_extract(url, '^[a-z]+://[^/]*/([a-zA-Z]{2})(/|$)', 1) IN ('en', 'de', 'fr', 'es') THEN regexp_extract(url, '^[a-z]+://[^/]*/([a-zA-Z]{2})(/|$)', 1) END AS url_locale, 'unknown' AS router FROM pages""",
+    "markers": """
+WITH m AS (SELECT s_suppkey AS k, s_suppkey % 6 AS n, s_name FROM supplier)
+SELECT k AS page_id, CASE n WHEN 0 THEN 'app' WHEN 1 THEN 'app' WHEN 2 THEN 'pages' WHEN 3 THEN 'static_export' WHEN 4 THEN 'static_export' ELSE 'unknown' END AS router,
+  CASE n WHEN 0 THEN '13.0 - 13.3' WHEN 1 THEN '13.4 - 14.0' END AS version, CASE n WHEN 3 THEN 'webpack' END AS bundler, CASE n WHEN 5 THEN 'cloudflare' END AS challenge, CASE n WHEN 3 THEN '/docs' ELSE '' END AS base_path,
+  'd' || k AS digest, '/api/s/' || k AS routes, md5(CAST(k AS VARCHAR)) AS actions, s_name AS title, CAST(k AS VARCHAR) AS site, CAST(k AS VARCHAR) AS sku, CASE n WHEN 2 THEN '{"a":1}' END AS props FROM m""",
+    "redact": r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.\w+', '[REDACTED_EMAIL]', 'g'), '\+?\d[\d\-\s()]{7,}\d', '[REDACTED_PHONE]', 'g')) AS digest FROM documents",
+    "domain": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS domain FROM pages",
+    "price": "SELECT p_partkey, round(p_retailprice, 2) AS amount, 'EUR' AS currency, round(p_retailprice, 2) AS plain, 'USD' AS plain_currency FROM part",
+    "dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d0, CAST(o_orderdate AS DATE) AS d1, CAST(o_orderdate AS DATE) AS d2, CAST(o_orderdate AS DATE) AS d3, CAST(o_orderdate AS DATE) AS d4 FROM orders",
+    "image_urls": "SELECT page_id, url, 640 AS width FROM pages",
+    "cache_headers": """
+SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'HIT' ELSE 'STALE' END AS cache, CAST(s_suppkey AS INTEGER) AS s_maxage, 60 AS swr, CASE WHEN s_suppkey % 3 <> 0 THEN CAST(s_suppkey AS INTEGER) END AS age,
+  s_suppkey % 4 = 0 AS draft, CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 2 END AS n_cookies FROM supplier""",
+}

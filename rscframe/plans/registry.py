@@ -1,4 +1,240 @@
-"""Queries over the driver's tables, one for each implemented operator."""
+"""Queries over the driver's tables, one or more for each implemented family of operators.
 
-FLAGSHIP = ""
-QUERIES: dict = {}
+Most encode base tables as pages, run the operator, and are held against SQL over the base tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rscframe.functions import normalize, pages as P
+from rscframe.operators import health, search, tables
+from rscframe.plans import synth
+
+FLAGSHIP = "find_all_by_keys"
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def part_pages(s: SparkSession, d: str) -> DataFrame:
+    """50 parts a page as objects, each page with an element row and an early module and preload row."""
+    p = _table(s, d, "part")
+    obj = F.to_json(F.struct("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"))
+    rows = p.select((F.col("p_partkey") % F.lit(40)).alias("page"), F.col("p_partkey").alias("o"), synth.row(F.lower(F.hex("p_partkey")), obj).alias("row"))
+    return synth.pages(rows, F.col("page"), ["o"], pushes=3)
+
+
+def order_pages(s: SparkSession, d: str) -> DataFrame:
+    """Orders that refer to a chunk of their customer and carry dates and big integers."""
+    o, c = _table(s, d, "orders"), _table(s, d, "customer")
+    page = F.col("o_custkey") % 100
+    obj = F.to_json(F.struct(F.concat(F.lit("$n"), F.col("o_orderkey").cast("string")).alias("order_key"), F.concat(F.lit("$D"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("placed"), F.col("o_totalprice").alias("total"), F.concat(F.lit("$c"), F.col("o_custkey").cast("string")).alias("customer")))
+    orders = o.select(page.alias("page"), F.lit(0).alias("g"), F.col("o_orderkey").alias("o"), synth.row(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), obj).alias("row"))
+    customers = c.select((F.col("c_custkey") % 100).alias("page"), F.lit(1).alias("g"), F.col("c_custkey").alias("o"), synth.row(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.to_json(F.struct("c_custkey", "c_name", "c_mktsegment"))).alias("row"))
+    return synth.pages(orders.union(customers), F.col("page"), ["g", "o"], pushes=4)
+
+
+def text_pages(s: SparkSession, d: str) -> DataFrame:
+    """Each document a page of its own: its text as a byte-counted row, then an object."""
+    t = _table(s, d, "documents").where("text is not null")
+    row = F.concat(F.lit("1:T"), F.lower(F.hex(F.octet_length("text"))), F.lit(","), F.col("text"), F.lit('2:{"doc_id":'), F.col("doc_id").cast("string"), F.lit(',"body":"$1"}'))
+    return synth.pages(t.select(F.col("doc_id").alias("page"), F.lit(0).alias("o"), row.alias("row")), F.col("page"), ["o"], pushes=2)
+
+
+def doubled_pages(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers twice, the second time with another key order and under a repeated chunk id."""
+    p = _table(s, d, "supplier")
+    key = F.concat(F.lit("s"), (F.col("s_suppkey") % 5).cast("string"))
+    page = (F.col("s_suppkey") % 10).alias("page")
+    a = p.select(page, F.col("s_suppkey").alias("o"), F.lit(0).alias("g"), synth.row(key, F.to_json(F.struct("s_suppkey", "s_name"))).alias("row"))
+    b = p.select(page, F.col("s_suppkey").alias("o"), F.lit(1).alias("g"), synth.row(key, F.to_json(F.struct("s_name", "s_suppkey"))).alias("row"))
+    return synth.pages(a.union(b), F.col("page"), ["g", "o"])
+
+
+def health_pages(s: SparkSession, d: str) -> DataFrame:
+    """Customers' pages of good objects, raw tokens and cut objects."""
+    c = _table(s, d, "customer")
+    n = F.col("c_custkey") % 7
+    body = F.when(n == 0, F.lit("oops")).when(n == 1, F.lit('"plain"')).when(n == 2, F.lit("[1,2]")).otherwise(F.to_json(F.struct("c_custkey", "c_acctbal")))
+    rows = c.select((F.col("c_custkey") % 60).alias("page"), F.col("c_custkey").alias("o"), synth.row(F.lower(F.hex("c_custkey")), body).alias("row"))
+    return synth.pages(rows, F.col("page"), ["o"])
+
+
+def fetch_log(s: SparkSession, d: str) -> DataFrame:
+    e = _table(s, d, "events")
+    return e.select(F.col("event_type").alias("domain"), F.col("event_id").alias("seq"), (F.pmod(F.col("event_id") * 7919, F.lit(1024)) / 1024.0).alias("score"), F.when(F.col("user_id") % 11 == 0, 0).otherwise(5).alias("n_chunks"), (F.col("event_id") % 3).cast("int").alias("attempt"))
+
+
+def marked_pages(s: SparkSession, d: str) -> DataFrame:
+    """Html with markers, tags, routes and URLs that depend on the supplier."""
+    p, k = _table(s, d, "supplier"), F.col("s_suppkey").cast("string")
+    n = F.col("s_suppkey") % 6
+    mark = (
+        F.when(n == 0, F.lit('<script>self.__next_f.push([1,"0:{}"])</script>')).when(n == 1, F.lit('<script>self.__next_f.push([1,":HL[1]"])</script>'))
+        .when(n == 2, F.lit('<script id="__NEXT_DATA__" type="application/json">{"props":{"pageProps":{"a":1}}}</script>'))
+        .when(n == 3, F.lit('<script src="/docs/_next/static/chunks/main-1.js"></script><script>self.webpackChunk_N_E=[]</script>'))
+        .when(n == 4, F.lit('<script id="__NEXT_DATA__" type="application/json">{"nextExport":true}</script>')).otherwise(F.lit("<p>Just a moment...</p>"))
+    )
+    html = F.concat(F.lit('<html><head><meta property="og:title" content="'), F.col("s_name"), F.lit('"><meta content="'), k, F.lit('" name="twitter:site">'), F.lit('<script type="application/ld+json">{"@type":"Product","sku":"'), k, F.lit('"}</script></head><body>fetch("/api/s/'), k, F.lit('") fetch("/api/s/'), k, F.lit('") createServerReference)("'), F.md5(k.cast("binary")), F.lit('" "digest":"d'), k, F.lit('" '), mark, F.lit("</body></html>"))
+    return p.select(F.col("s_suppkey").alias("page_id"), html.alias("html"))
+
+
+
+
+def q_find_all_by_keys(s, d):
+    found = search.find_all_by_keys(part_pages(s, d), ["p_partkey", "p_retailprice"])
+    return search.as_records(found, "p_partkey long, p_name string, p_retailprice double", "page_id")
+
+
+def q_find_any_keys(s, d):
+    return search.as_records(search.find_any_keys(part_pages(s, d), ["p_brand", "nothing"]), "p_partkey long, p_brand string")
+
+
+def q_find_by_key_pattern(s, d):
+    return search.as_records(search.find_by_key_pattern(part_pages(s, d), "^p_re.*ice$"), "p_partkey long")
+
+
+def q_find_by_type(s, d):
+    return search.as_records(search.find_by_type(part_pages(s, d), 7, key="p_size"), "p_partkey long, p_size int")
+
+
+def q_find_all_predicate(s, d):
+    return search.as_records(search.find_all(part_pages(s, d), lambda v: isinstance(v, dict) and v.get("p_retailprice", 0) > 950), "p_partkey long")
+
+
+def q_find_by_keys_first(s, d):
+    return search.as_records(search.find_by_keys(part_pages(s, d), ["p_partkey"]), "p_partkey long", "page_id")
+
+
+def q_find_all_by_keys_dedupe(s, d):
+    return search.as_records(search.find_all_by_keys(doubled_pages(s, d), ["s_suppkey"], dedupe=True), "s_suppkey long, s_name string", "page_id")
+
+
+def q_find_text(s, d):
+    return search.find_text(part_pages(s, d), "^Brand#1").select("page_id", "text")
+
+
+def q_chunk_keys(s, d):
+    return tables.chunks(doubled_pages(s, d)).select("page_id", "chunk_key", "chunk_id", "kind", "value_type")
+
+
+def q_resolve_references(s, d):
+    r = tables.resolved(order_pages(s, d)).where("chunk_key like 'o%'")
+    return r.select("page_id", F.from_json("value_json", "order_key long, placed string, total double, customer struct<c_custkey:long,c_name:string,c_mktsegment:string>").alias("v")).select("page_id", "v.order_key", F.to_timestamp("v.placed").cast("timestamp_ntz").alias("placed"), "v.total", "v.customer.c_custkey", "v.customer.c_name", "v.customer.c_mktsegment")
+
+
+def q_text_rows(s, d):
+    c = tables.chunks(text_pages(s, d)).where("kind = 'text'")
+    return c.select(F.col("page_id").alias("doc_id"), F.length("raw").cast("long").alias("n_chars"), F.md5(F.col("raw").cast("binary")).alias("digest"), "status")
+
+
+def q_text_reference(s, d):
+    r = tables.projected(text_pages(s, d), ["2.doc_id", "2.body", "2.none"])
+    return r.select(F.col("p0").cast("long").alias("doc_id"), F.md5(F.from_json(F.concat(F.lit('{"a":'), F.col("p1"), F.lit("}")), "a string")["a"].cast("binary")).alias("digest"), F.col("p2").alias("missing"))
+
+
+def q_nodes(s, d):
+    n = tables.nodes(part_pages(s, d))
+    return n.groupBy("depth", "ntype").agg(F.count("*").alias("n"), F.count_if("first_visit").alias("n_first"), F.count("sval").alias("n_scalar"))
+
+
+def q_page_stats(s, d):
+    p = health_pages(s, d)
+    st = health.stats(p, tables.chunks(p))
+    return st.select("page_id", "chunk_count", "json_chunk_count", "type_str", "type_dict", "type_list")
+
+
+def q_parse_confidence(s, d):
+    p = health_pages(s, d)
+    return health.confidence(p, tables.chunks(p)).select("page_id", "n_judged", "n_raw", F.round("score", 6).alias("score"))
+
+
+def q_page_diff(s, d):
+    def pages(changed):
+        p = _table(s, d, "part").select("p_partkey", "p_retailprice")
+        if changed:
+            p = p.where("p_partkey % 11 <> 0").withColumn("p_retailprice", F.expr("p_retailprice + if(p_partkey % 7 = 0, 1.0, 0.0)"))
+        else:
+            p = p.where("p_partkey % 13 <> 0")
+        rows = p.select((F.col("p_partkey") % 40).alias("page"), F.col("p_partkey").alias("o"), synth.row(F.concat(F.lit("k"), F.col("p_partkey").cast("string")), F.to_json(F.struct("p_retailprice"))).alias("row"))
+        return synth.pages(rows, F.col("page"), ["o"])
+
+    return search.diff(pages(False), pages(True)).select("page_id", "path", "change")
+
+
+def q_throttle(s, d):
+    return health.throttled(fetch_log(s, d), window=6, least=0.45).select("domain", "seq", F.round("rolling", 6).alias("rolling"), "throttled", "step")
+
+
+def q_drift(s, d):
+    return health.drifted(fetch_log(s, d)).select("domain", "seq", F.round("mean_before", 6).alias("mean_before"))
+
+
+def q_running_confidence(s, d):
+    return health.running_confidence(fetch_log(s, d)).select("domain", "seq", F.round("avg_confidence", 3).alias("avg_confidence"))
+
+
+def q_crawl_stats(s, d):
+    return health.crawl_stats(fetch_log(s, d))
+
+
+def q_retries(s, d):
+    return health.retries(fetch_log(s, d), vendor=None).select("domain", "seq", "attempt")
+
+
+def q_crawl_dedupe(s, d):
+    e = _table(s, d, "events").select(F.col("event_id").alias("seq"), F.to_json(F.struct("user_id", "event_type")).alias("item_json"))
+    return search.crawl_deduped(e, "seq").select("seq")
+
+
+def q_locale(s, d):
+    p = _table(s, d, "pages")
+    return p.select("page_id", P.locale(F.col("html")).alias("locale"), P.locale(F.col("url")).alias("url_locale"), P.router(F.col("html")).alias("router"))
+
+
+def q_markers(s, d):
+    h = F.col("html")
+    m = marked_pages(s, d)
+    return m.select(
+        "page_id", P.router(h).alias("router"), P.version_hint(h).alias("version"), P.bundler(h).alias("bundler"), P.challenge(h).alias("challenge"), P.base_path(h).alias("base_path"),
+        P.error_digest(h).alias("digest"), P.array_text(P.api_routes(h)).alias("routes"), P.array_text(P.server_action_ids(h)).alias("actions"), P.meta_tags(h)["og:title"].alias("title"), P.meta_tags(h)["twitter:site"].alias("site"),
+        F.get_json_object(P.json_ld(h, "Product")[0], "$.sku").alias("sku"), P.page_props(h).alias("props"),
+    )
+
+
+def q_redact(s, d):
+    return _table(s, d, "documents").select("doc_id", F.md5(normalize.redact(F.col("text")).cast("binary")).alias("digest"))
+
+
+def q_domain(s, d):
+    return _table(s, d, "pages").select("page_id", normalize.domain(F.col("url")).alias("domain"))
+
+
+def q_price(s, d):
+    p = _table(s, d, "part")
+    v = normalize.price(F.concat(F.lit("€ "), F.format_string("%,.2f", F.col("p_retailprice"))))
+    w = normalize.price(F.concat(F.format_string("%.2f", F.col("p_retailprice")), F.lit(" USD")))
+    return p.select("p_partkey", v["amount"].alias("amount"), v["currency"].alias("currency"), w["amount"].alias("plain"), w["currency"].alias("plain_currency"))
+
+
+def q_dates(s, d):
+    o, t = _table(s, d, "orders"), F.col("o_orderdate")
+    forms = [F.date_format(t, f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MMMM d, yyyy", "d MMM yyyy")]
+    return o.select("o_orderkey", *[F.to_date(normalize.date(f)).alias(f"d{i}") for i, f in enumerate(forms)])
+
+
+def q_image_urls(s, d):
+    u = P.image_proxy(F.lit("https://x.example/"), F.col("url"), 640)
+    return _table(s, d, "pages").select("page_id", P.image_source(u).alias("url"), P.srcset(F.concat(u, F.lit(" 640w, /a.png 1x")))[0]["width"].alias("width"))
+
+
+def q_cache_headers(s, d):
+    h = F.create_map(F.lit("X-Nextjs-Cache"), F.when(F.col("s_suppkey") % 2 == 0, "HIT").otherwise("STALE"), F.lit("Cache-Control"), F.concat(F.lit("s-maxage="), F.col("s_suppkey").cast("string"), F.lit(", stale-while-revalidate=60")), F.lit("AGE"), F.when(F.col("s_suppkey") % 3 == 0, "x").otherwise(F.col("s_suppkey").cast("string")))
+    c = F.array(F.lit("a=1; Path=/"), F.when(F.col("s_suppkey") % 4 == 0, "__prerender_bypass=1").otherwise("b=2"))
+    st = P.cache_status(h)
+    return _table(s, d, "supplier").select("s_suppkey", st["cache"].alias("cache"), st["s_maxage"].alias("s_maxage"), st["stale_while_revalidate"].alias("swr"), st["age"].alias("age"), P.draft_mode(c).alias("draft"), F.size(P.without_draft_cookies(c)).alias("n_cookies"))
+
+
+QUERIES = {name[2:]: f for name, f in list(globals().items()) if name.startswith("q_")}
