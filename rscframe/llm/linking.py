@@ -9,13 +9,14 @@
    table as soon as it agrees on two collections; at Jaccard 0.85 all tables miss it
    with a probability of 7e-6.  A collection value that occurs once can be in no shared key, so only
    values seen twice are combined.  Without ``tensored`` each collection is a plain band.
-4. In each bucket every member is paired with the head (its least id), not with each other.  Pairs
-   whose 48 minima agree too rarely for the wanted similarity (probability below 1e-7) are left
-   out; the rest are confirmed on full sets and components are formed.
+4. In each bucket one member, the most central (it agrees with most others on most collections, as the
+   text does that others were copied from), is paired with each member of another component, not members with each other.  Pairs
+   whose minima agree too rarely for the wanted similarity (probability below 1e-7) are left
+   out; the rest are confirmed on full sets and components are formed.  This is done with a twelfth of the tables, then with all.
 5. Buckets that still hold several components are taken again; there every pair of members from
-   different components is compared, in blocks of bounded size, so that no link between components is lost.
-   In a bucket whose members are joined already there is nothing left to find, however many copies
-   it holds.
+   different components is compared by 512 minima, in blocks of bounded size, and those alike enough on full sets, so that
+   no link between components is lost.  In a bucket whose members are joined already there is nothing
+   left to find, however many copies it holds.
 
 Links are confirmed by whole numbers: 100 * intersection >= percent * union.
 """
@@ -23,6 +24,7 @@ Links are confirmed by whole numbers: 100 * intersection >= percent * union.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .textkit import _PLACE, Permutations, Workspace, mix, segments, shingle_hashes, string_buffers, word_hashes
 
+MOST_SENT = 2_000_000  # ids (16 bytes each in the hash table) that may be broadcast
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -40,21 +44,21 @@ class Plan:
     width: int = 3
     seed: int = 7
     tensored: bool = True
-    block: int = 256  # rows of a bucket that are compared at a time
+    block: int = 1024  # rows of a bucket that are compared at a time
+    rounds: int = 2  # of stars
+    finer: int = 512  # minima of those documents that are left after the stars
 
     @property
     def minima(self) -> int:
         return self.collections * self.width
 
-    @property
-    def least_agree(self) -> int:
-        """Agreeing minima below which a pair of the wanted similarity comes with probability < 1e-7."""
-        p, n, tail, term = self.percent / 100, self.minima, 0.0, (1 - self.percent / 100) ** self.minima
+    def least_agree(self, n: int) -> int:
+        """Agreements of n minima below which a pair of the wanted similarity comes with probability < 1e-7."""
+        p, tail = self.percent / 100, 0.0
         for k in range(n):
-            tail += term
+            tail += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
             if tail > 1e-7:
                 return k
-            term *= (n - k) / (k + 1) * p / (1 - p)
         return n
 
 
@@ -103,6 +107,13 @@ def bucket_keys(reps: DataFrame, plan: Plan) -> DataFrame:
     return own.where("size(vs) > 1").select(F.explode(pairs).alias("key"), "id")
 
 
+def shares(reps: DataFrame, plan: Plan) -> DataFrame:
+    """(id, n): with how many representatives, summed over the collections, each agrees."""
+    values = reps.select("id", F.posexplode("bands").alias("i", "v"))
+    counts = values.groupBy("i", "v").agg(F.count("*").alias("c")).where("c > 1")
+    return values.join(counts, ["i", "v"]).groupBy("id").agg(F.sum("c").alias("n"))
+
+
 def connected(edges: DataFrame, work: Workspace) -> DataFrame:
     """(id, component) of the nodes of the edges (a, b): least id reachable, by large and small stars."""
     now, before = work.cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()), None
@@ -147,10 +158,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 def likely(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) whose minima agree often enough."""
 
+    least = plan.least_agree(plan.minima)
+
     def run(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, plan.minima) for c in (batch.column(2), batch.column(3)))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= plan.least_agree))
+            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
 
     rows = pairs.join(reps.select(F.col("id").alias("b"), F.col("minima").alias("y")), "b")
     rows = rows.join(reps.select(F.col("id").alias("a"), F.col("minima").alias("x")), "a")
@@ -169,13 +182,15 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "minima")
 
+    least = plan.least_agree(plan.finer)
+
     def compare(group: list) -> list[tuple[int, int]]:
         ids, comps, sigs, own = (np.array([g[k] for g in group]) for k in (0, 1, 2, 3))
         out = []
         same_block = own.min() == own.max()
-        sigs = np.stack([np.frombuffer(g[2], np.uint16) for g in group])
+        sigs = np.stack([np.frombuffer(g[2], np.uint8) for g in group])
         for r in range(len(group) - 1):
-            hit = (comps[r + 1 :] != comps[r]) & ((sigs[r + 1 :] == sigs[r]).sum(axis=1) >= plan.least_agree)
+            hit = (comps[r + 1 :] != comps[r]) & ((sigs[r + 1 :] == sigs[r]).sum(axis=1) >= least)
             if not same_block:
                 hit &= own[r + 1 :] != own[r]
             out += [(int(min(ids[r], x)), int(max(ids[r], x))) for x in ids[r + 1 :][hit]]
@@ -215,20 +230,35 @@ def components(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id"
     keys = work.cut(bucket_keys(reps.select("id", "bands"), plan))
     sigs = reps.groupBy("id").agg(F.min("minima").alias("minima"))  # an id that is repeated with other texts is one node
 
-    # First some tables alone, the head of each bucket against its members: dense groups are joined by few pairs.
-    some = keys.where(F.pmod("key", F.lit(12)) == 0)
-    heads = some.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    stars = some.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    pairs = work.cut(likely(stars, sigs, plan))
-    edges = work.cut(confirmed(pairs, set_table(docs, pairs, plan, work), plan))
-    comps = connected(edges, work)
-
-    # Then all tables, where a bucket holds several components.
+    # Stars first: in each open bucket its most central member (that agrees with most others on most
+    # collections, as the text does that the others were copied from) against the members of other components.
+    central = shares(reps, plan)
+    keys = work.cut(keys.join(central, "id").select("key", "id", F.struct(F.col("n"), (-F.col("id")).alias("o")).alias("rank")))
+    edges, comps, tested = None, None, None
+    for turn in range(plan.rounds):
+        named = keys if comps is None else keys.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if comps is None:
+            named = named.where(F.pmod("key", F.lit(12)) == 0).withColumn("component", F.col("id"))
+        heads = named.groupBy("key").agg(F.max_by(F.struct("id", "component"), "rank").alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key", "h")
+        stars = named.join(heads, "key").where("component <> h.component").select(F.least("h.id", "id").alias("a"), F.greatest("h.id", "id").alias("b")).distinct()
+        if tested is not None:
+            stars = stars.join(tested, ["a", "b"], "left_anti")
+        pairs = work.cut(likely(stars, sigs, plan))
+        tested = pairs if tested is None else tested.union(pairs)
+        sets = set_table(docs, both_ends(pairs), plan, work)
+        found = work.cut(confirmed(pairs, sets, plan))
+        work.drop(sets)
+        edges = found if edges is None else edges.union(found)
+        comps = connected(edges, work)
+
+    # What is still open is compared in full.
     named = keys.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = named.join(open_, "key").join(sigs, "id").select("key", "id", "component", "minima")
-    more = work.cut(across(members, plan).join(pairs, ["a", "b"], "left_anti"))
-    edges2 = work.cut(confirmed(more, set_table(docs, more, plan, work), plan))
+    left = work.cut(named.join(open_, "key"))
+    sets = set_table(docs, left, plan, work, plan.finer)
+    members = left.join(sets.select("id", "minima"), "id").select("key", "id", "component", "minima")
+    more = work.cut(across(members, plan).join(tested, ["a", "b"], "left_anti"))
+    edges2 = work.cut(confirmed(more, sets, plan))
     comps = connected(edges.union(edges2), work)
 
     links = edges.union(edges2).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
@@ -236,17 +266,30 @@ def components(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id"
     named = named.select("set_id", F.coalesce("component", "id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    work.drop(keys, pairs, more)
+    work.drop(keys, more, left, sets)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "links")
 
 
-def set_table(docs: DataFrame, pairs: DataFrame, plan: Plan, work: Workspace) -> DataFrame:
-    """(id, shingles) of the documents that the pairs name; a set of another text under the same id is merged into it."""
+def set_table(docs: DataFrame, wanted: DataFrame, plan: Plan, work: Workspace, minima: int = 0) -> DataFrame:
+    """(id, shingles, minima) of the wanted documents; of several texts under an id the set that sorts last.
+
+    Up to MOST_SENT ids (counted first) go to the texts; beyond, both are joined by a shuffle.
+    """
 
     def run(batches):
+        perms = Permutations(max(minima, 1), plan.seed + 1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), plan.size)], pa.binary())], ["id", "shingles"])
+            sets = list(shingle_sets(b.column(1), plan.size))
+            fine = [perms.minima(s).astype(np.uint8).tobytes() if minima else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine, pa.binary())], ["id", "shingles", "minima"])
+
+    ids = work.cut(wanted.select(F.col("id").alias("doc_id")).distinct())
+    few = ids.count() <= MOST_SENT
+    sets = docs.join(F.broadcast(ids) if few else ids, "doc_id").mapInArrow(run, "id long, shingles binary, minima binary")
+    out = work.cut(sets.groupBy("id").agg(F.max(F.struct("shingles", "minima")).alias("x")).select("id", "x.shingles", "x.minima"))
+    work.drop(ids)
+    return out
+
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id").mapInArrow(run, "id long, shingles binary")
-    return work.cut(sets.groupBy("id").agg(F.max("shingles").alias("shingles")))
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
