@@ -96,15 +96,15 @@ def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def bucket_keys(reps: DataFrame, plan: Plan) -> DataFrame:
-    """(key, id) for each table and class representative that can share a bucket."""
+    """(key, number t of the table, id) for each table and class representative that can share a bucket."""
     values = reps.select("id", F.posexplode("bands").alias("i", "v"))
     shared = values.groupBy("i", "v").agg(F.count("*").alias("n")).where("n > 1").select("i", "v")
     values = values.join(shared, ["i", "v"])
     if not plan.tensored:
-        return values.select(F.xxhash64("i", "v").alias("key"), "id")
+        return values.select(F.xxhash64("i", "v").alias("key"), F.col("i").alias("t"), "id")
     own = values.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("vs"))  # at most ``collections`` each
-    pairs = F.expr("flatten(transform(vs, (x, k) -> transform(slice(vs, k + 2, size(vs)), y -> xxhash64(x.i, y.i, x.v, y.v))))")
-    return own.where("size(vs) > 1").select(F.explode(pairs).alias("key"), "id")
+    pairs = F.expr("flatten(transform(vs, (x, k) -> transform(slice(vs, k + 2, size(vs)), y -> struct(xxhash64(x.i, y.i, x.v, y.v) as key, x.i * 64 + y.i as t))))")
+    return own.where("size(vs) > 1").select(F.explode(pairs).alias("p"), "id").select("p.key", "p.t", "id")
 
 
 def shares(reps: DataFrame, plan: Plan) -> DataFrame:
@@ -171,7 +171,9 @@ def likely(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
 
 
 def across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Likely pairs of different components within a bucket: rows (key, id, component, minima).
+    """Likely pairs of different components within a bucket: rows (key, t, id, component, minima, bands).
+
+    A pair that shares several buckets comes out of one: that of the first collections on which it agrees.
 
     A bucket is cut into blocks of about ``plan.block`` rows; each pair of blocks is a group of its
     own, so that no task holds a whole bucket.
@@ -180,7 +182,7 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
     rows = members.join(sizes, "key").withColumn("k", F.ceil(F.col("n") / plan.block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "minima")
+    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "minima", "t", "bands")
 
     least = plan.least_agree(plan.finer)
 
@@ -189,21 +191,34 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
         out = []
         same_block = own.min() == own.max()
         sigs = np.stack([np.frombuffer(g[2], np.uint8) for g in group])
+        bands, t = np.array([g[5] for g in group]), group[0][4]
+
+        def first_shared(r: int, hit: np.ndarray) -> np.ndarray:
+            agree = bands[r + 1 :][hit] == bands[r]
+            one = agree.argmax(axis=1)
+            if not plan.tensored:
+                return one == t
+            agree[np.arange(len(agree)), one] = False
+            return one * 64 + agree.argmax(axis=1) == t
+
         for r in range(len(group) - 1):
             hit = (comps[r + 1 :] != comps[r]) & ((sigs[r + 1 :] == sigs[r]).sum(axis=1) >= least)
             if not same_block:
                 hit &= own[r + 1 :] != own[r]
+            if not hit.any():
+                continue
+            hit[np.flatnonzero(hit)] = first_shared(r, hit)
             out += [(int(min(ids[r], x)), int(max(ids[r], x))) for x in ids[r + 1 :][hit]]
         return out
 
     def run(batches):
         key, group, found = None, [], set()
         for batch in batches:
-            for k, p, q, own, i, c, m in zip(*(col.to_pylist() for col in batch.columns)):
+            for k, p, q, own, i, c, m, t, bands in zip(*(col.to_pylist() for col in batch.columns)):
                 if (k, p, q) != key:
                     found.update(compare(group) if len(group) > 1 else ())
                     key, group = (k, p, q), []
-                group.append((i, c, m, own))
+                group.append((i, c, m, own, t, bands))
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found)], ["a", "b"])
                 found = set()
@@ -227,13 +242,14 @@ def components(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id"
     sketched = work.cut(sketch(docs, plan))
     classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.min("minima").alias("minima"))
     reps = work.cut(classes)
-    keys = work.cut(bucket_keys(reps.select("id", "bands"), plan))
-    sigs = reps.groupBy("id").agg(F.min("minima").alias("minima"))  # an id that is repeated with other texts is one node
+    # an id that is repeated with other texts is one node, with the minima of one of them
+    sigs = work.cut(reps.groupBy("id").agg(F.max_by(F.struct("bands", "minima"), "set_id").alias("x")).select("id", "x.bands", "x.minima"))
+    keys = work.cut(bucket_keys(sigs.select("id", "bands"), plan))
 
     # Stars first: in each open bucket its most central member (that agrees with most others on most
     # collections, as the text does that the others were copied from) against the members of other components.
-    central = shares(reps, plan)
-    keys = work.cut(keys.join(central, "id").select("key", "id", F.struct(F.col("n"), (-F.col("id")).alias("o")).alias("rank")))
+    central = shares(sigs, plan)
+    keys = work.cut(keys.join(central, "id").select("key", "t", "id", F.struct(F.col("n"), (-F.col("id")).alias("o")).alias("rank")))
     edges, comps, tested = None, None, None
     for turn in range(plan.rounds):
         named = keys if comps is None else keys.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -252,11 +268,11 @@ def components(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id"
         comps = connected(edges, work)
 
     # What is still open is compared in full.
-    named = keys.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    named = keys.join(comps, "id", "left").select("key", "t", "id", F.coalesce("component", "id").alias("component"))
     open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     left = work.cut(named.join(open_, "key"))
     sets = set_table(docs, left, plan, work, plan.finer)
-    members = left.join(sets.select("id", "minima"), "id").select("key", "id", "component", "minima")
+    members = left.join(sets.select("id", "minima").join(sigs.select("id", "bands"), "id"), "id")
     more = work.cut(across(members, plan).join(tested, ["a", "b"], "left_anti"))
     edges2 = work.cut(confirmed(more, sets, plan))
     comps = connected(edges.union(edges2), work)
