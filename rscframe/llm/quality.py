@@ -17,6 +17,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -212,8 +213,6 @@ def score(df: DataFrame, rules: Rules, text: str = "text", id: str = "doc_id") -
 
 def accepted(df: DataFrame, rules: Rules, least: float = LEAST) -> DataFrame:
     """The rows of df with a score of ``least`` at least, all columns unchanged."""
-    import pandas as pd
-
     kind = ", ".join(f"{s} double" for s in STATS)
 
     @F.pandas_udf(kind)
