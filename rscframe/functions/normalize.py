@@ -6,6 +6,7 @@ import html as html_lib
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 # The price pattern's parts, currency signs, date formats in order, personal data.
 AMOUNT = r"(?U)([$€£¥₹]|[A-Z]{3}(?=[\s\d]))?\s*(\d[\d,.\s]*\d|\d)\s*([A-Z]{3}|[$€£¥₹])?"
@@ -30,7 +31,7 @@ def price(text: Column) -> Column:
     return F.when(amount.isNotNull(), F.struct(amount.alias("amount"), named.alias("currency")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(html_lib.unescape, na_action="ignore")
 

@@ -41,7 +41,7 @@ SELECT domain, seq, round(rolling, 6) AS rolling, throttled, CASE WHEN throttled
 r AS (SELECT *, avg(sc) OVER w AS m, count(*) OVER w AS n FROM l WINDOW w AS (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT domain, seq, round(m, 6) AS mean_before FROM r WHERE n >= 5 AND m - sc >= 0.3""",
     "running_confidence": f"""{_LOG}
-SELECT domain, seq, round(round(avg(sc) OVER (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4), 3) AS avg_confidence FROM l""",
+SELECT domain, seq, CAST(round(CAST(avg(sc) OVER (PARTITION BY domain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(30, 15)), 4) AS DOUBLE) AS avg_confidence FROM l""",
     "crawl_stats": f"""{_LOG}
 SELECT count(*) FILTER (n_chunks > 0) AS with_data, count(*) FILTER (n_chunks = 0) AS without_data, (SELECT round(avg(sc), 4) FROM l) AS avg_confidence FROM log""",
     "retries": f"{_LOG} SELECT domain, seq, CAST(attempt + 1 AS INTEGER) AS attempt FROM l WHERE sc < 0.5 AND attempt < 2",

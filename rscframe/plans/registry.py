@@ -173,7 +173,7 @@ def q_drift(s, d):
 
 
 def q_running_confidence(s, d):
-    return health.running_confidence(fetch_log(s, d)).select("domain", "seq", F.round("avg_confidence", 3).alias("avg_confidence"))
+    return health.running_confidence(fetch_log(s, d)).select("domain", "seq", "avg_confidence")
 
 
 def q_crawl_stats(s, d):
