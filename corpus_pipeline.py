@@ -47,7 +47,7 @@ STAGES = [
     ("BPE encoding and decoding", encoded),
 ]
 
-ORACLE_SQL = None  # models and approximate keys are beyond SQL; tests/llm/test_pipeline.py has a brute-force version
+ORACLE_SQL = None  # models and approximate keys are beyond SQL; tests/llm/test_pipeline.py checks columns and effects of the stages
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
