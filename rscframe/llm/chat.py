@@ -14,7 +14,8 @@ then it goes right behind it.  Nothing gathers a conversation in one row or task
 Defined results: a null or empty text is empty content; a result whose call is missing is kept with linked =
 false, a call without a result too; of several calls with one identifier in a conversation the first counts; arguments that are no JSON object,
 an unknown tool, a missing or mistyped required argument, or an extra one make valid false; messages in a
-cycle of dependencies keep their place after ROUNDS rounds and have ordered = false; repeated rows return repeated rows.
+cycle of dependencies, or between two, keep their turn and have ordered = false, and what else depends on them stands behind them;
+repeated rows return repeated rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .textkit import Workspace, table
 
-ROUNDS = 50
 CALLS = "array<struct<id:string,name:string,arguments:string,after:array<string>>>"
 #: For each tool its arguments: (type, required).
 REPLY = {"reply": {"text": ("string", True), "turn": ("integer", True)}}
@@ -77,6 +77,40 @@ def quoted(text: Column) -> Column:
     return whole.substr(F.lit(6), F.length(whole) - 6)  # {"a":...}
 
 
+def settled(edges: DataFrame, work: Workspace) -> tuple[DataFrame, bool]:
+    """(conv_id, turn, k, open) of the nodes of the edges (conv_id, turn, parent), and whether none is open.
+
+    k is the greatest of the node's own (turn, 0) and its parents' k a step further.  In each round an edge to a node
+    without parents is done, and one to a node with a single parent goes on to that parent, so that a chain of n takes
+    log n rounds.  A round in which no node is done leaves those that are in a cycle or depend on one.
+    """
+
+    def own(turn: str) -> Column:
+        return F.struct(F.col(turn).alias("t"), F.lit(0).cast("long").alias("s")).alias("c")
+
+    # a row for each edge, with the steps it stands for, and one without parent that carries the key as far as known
+    now = edges.select("conv_id", "turn", "parent", F.lit(1).cast("long").alias("w"), own("turn"))
+    roots = edges.select("conv_id", F.col("parent").alias("turn")).union(edges.select("conv_id", "turn")).distinct()
+    now = work.cut(now.union(roots.select("conv_id", "turn", F.lit(None).cast("long"), F.lit(0).cast("long"), own("turn"))))
+    before = None
+    while True:
+        left = now.where("parent is not null").select("conv_id", "turn").distinct().count()
+        if not left or left == before:
+            break
+        of = now.groupBy("conv_id", F.col("turn").alias("parent")).agg(F.count("parent").alias("n"), F.max("parent").alias("q"), F.max("w").alias("more"), F.max("c").alias("m"))
+        on = now.where("parent is not null").join(of, ["conv_id", "parent"])
+        # no chain is as long as the bound; without it the steps of a cycle would double past any number
+        steps = F.least(F.col("w") + F.when(F.col("n") == 1, F.col("more")).otherwise(0), F.lit(1 << 40))
+        key = F.greatest("c", F.struct(F.col("m.t").alias("t"), (F.col("m.s") + F.col("w")).alias("s")))
+        on = on.select("conv_id", "turn", F.when(F.col("n") == 1, F.col("q")).when(F.col("n") > 1, F.col("parent")).alias("parent"), steps.alias("w"), key.alias("c"))
+        known = on.select("conv_id", "turn", F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("w"), "c")
+        new = work.cut(now.where("parent is null").union(known).union(on.where("parent is not null")).groupBy("conv_id", "turn", "parent").agg(F.max("w").alias("w"), F.max("c").alias("c")))
+        work.drop(now)
+        now, before = new, left
+    k = F.max("c")
+    return now.groupBy("conv_id", "turn").agg(F.struct(k["t"].alias("t"), k["s"].alias("s")).alias("k"), (F.count("parent") > 0).alias("open")), not left
+
+
 def ordered(messages: DataFrame, work: Workspace) -> DataFrame:
     """messages with order_turn, order_step, ordered."""
     calls = messages.where("calls is not null").select("conv_id", "turn", F.explode("calls").alias("c"))
@@ -85,26 +119,22 @@ def ordered(messages: DataFrame, work: Workspace) -> DataFrame:
     first = results.groupBy("conv_id", "id").agg(F.min("turn").alias("parent"))
     wants = calls.select("conv_id", "turn", F.explode("c.after").alias("id"))
     edges = results.join(owner, ["conv_id", "id"]).select("conv_id", "turn", "parent").union(wants.join(first, ["conv_id", "id"]).select("conv_id", "turn", "parent")).where("turn <> parent").distinct()
-    # only turns behind a later one, and what depends on them, can move
     edges = work.cut(edges)
-    keys = None
-    for _ in range(ROUNDS):
-        now = edges.select("conv_id", "turn", "parent", F.struct(F.col("parent").alias("t"), F.lit(0).alias("s")).alias("p"))
-        if keys is not None:
-            moved = keys.select("conv_id", F.col("turn").alias("parent"), F.col("k").alias("m"))
-            now = now.join(moved, ["conv_id", "parent"], "left").withColumn("p", F.coalesce("m", "p"))
-        want = F.struct(F.col("p.t").alias("t"), (F.col("p.s") + 1).alias("s"))
-        new = now.where(want > F.struct(F.col("turn").alias("t"), F.lit(0).alias("s"))).groupBy("conv_id", "turn").agg(F.max(want).alias("k"))
-        new = work.cut(new)
-        changed = new.join(keys, ["conv_id", "turn", "k"], "left_anti") if keys is not None else new
-        stuck = changed.select("conv_id", "turn")
-        before, keys = keys, new
-        if changed.isEmpty():
-            break
-        work.drop(before)
-    late = keys.join(stuck.withColumn("_stuck", F.lit(True)), ["conv_id", "turn"], "left")
+    # without a turn behind a later one every message keeps its turn, and there is no cycle
+    late = edges.select("conv_id", "turn", F.struct(F.col("turn").alias("t"), F.lit(0).alias("s")).alias("k"), F.lit(True).alias("_stuck")).where("false")
+    if not edges.where("parent > turn").isEmpty():
+        keys, whole = settled(edges, work)
+        late = keys.select("conv_id", "turn", "k", F.lit(None).cast("boolean").alias("_stuck"))
+        if not whole:
+            # what is open is in a cycle or depends on one; seen from behind, what is open too is in a cycle or between two
+            end = keys.where("open").select("conv_id", "turn")
+            inner = edges.join(end, ["conv_id", "turn"], "left_semi").join(end.withColumnRenamed("turn", "parent"), ["conv_id", "parent"], "left_semi")
+            back, _ = settled(inner.select("conv_id", F.col("parent").alias("turn"), F.col("turn").alias("parent")), work)
+            stuck = back.where("open").select("conv_id", "turn")
+            keys, _ = settled(edges.join(stuck, ["conv_id", "turn"], "left_anti"), work)
+            late = keys.join(stuck.withColumn("_stuck", F.lit(True)), ["conv_id", "turn"], "full").select("conv_id", "turn", "k", "_stuck")
     out = messages.join(late, ["conv_id", "turn"], "left")
-    return out.select(*[F.col(c) for c in messages.columns], F.coalesce(F.col("k.t"), F.col("turn")).alias("order_turn"), F.coalesce(F.col("k.s"), F.lit(0)).alias("order_step"), F.col("_stuck").isNull().alias("ordered"))
+    return out.select(*[F.col(c) for c in messages.columns], F.coalesce(F.col("k.t"), F.col("turn")).alias("order_turn"), F.coalesce(F.col("k.s").cast("int"), F.lit(0)).alias("order_step"), F.col("_stuck").isNull().alias("ordered"))
 
 
 def format_messages(messages: DataFrame, schemas: dict) -> DataFrame:

@@ -163,3 +163,28 @@ def test_chat_links_orders_and_validates(spark):
     assert [(r.conv_id, r.turn) for r in got] == [(1, 1), (1, 0), (1, 2), (1, 3), (2, 0)]
     assert [r.linked for r in got] == [True, True, False, None, False] and [r.valid for r in got][:3] == [True, None, False]
     assert json.loads(got[0].json)["tool_calls"][0]["arguments"] == {"note": "é\n", "x": 1} and all(r.ordered for r in got)
+
+
+def chained(spark, links):
+    """Two messages for each (conv_id, number, numbers it waits for): a call, which names the results it waits for, and its result."""
+    rows = [r for c, t, on in links for r in ((c, 2 * t, "assistant", "", [(f"{c}:{t}", "f", "{}", [f"{c}:{p}" for p in on])], None), (c, 2 * t + 1, "tool", "", None, f"{c}:{t}"))]
+    return spark.createDataFrame(rows, f"conv_id long, turn long, role string, content string, calls {chat.CALLS}, result_for string")
+
+
+def test_chat_orders_chains_of_any_length_and_flags_cycles_only(spark):
+    n = 70  # calls, 140 messages, each before what it depends on
+    deep = [(1, t, [t + 1] if t < n - 1 else []) for t in range(n)]
+    wide = [(2, t, [x for x in (t + 1, t + 2) if x < 9]) for t in range(9)]
+    # a cycle of three calls (4, 5, 6), one that depends on it (0), one that does not (1 on 2), one that comes later (8)
+    ring = [(3, 0, [4]), (3, 1, [2]), (3, 2, []), (3, 4, [5]), (3, 5, [6]), (3, 6, [4]), (3, 8, [6])]
+    links = deep + wide + ring
+    got = chat.format_messages(chained(spark, links), {}).orderBy("conv_id", "order_turn", "order_step", "turn").collect()
+    place = {(r.conv_id, r.turn): i for i, r in enumerate(got)}
+    flagged = {(r.conv_id, r.turn) for r in got if not r.ordered}
+    cycle = {(3, 2 * t + x) for t in (4, 5, 6) for x in (0, 1)}
+    assert len(got) == 2 * len(links) and flagged == cycle
+    for c, t, on in links:
+        assert (c, 2 * t) in cycle or place[c, 2 * t] < place[c, 2 * t + 1]
+        assert (c, 2 * t) in cycle or all(place[c, 2 * p + 1] < place[c, 2 * t] for p in on)
+    assert [(r.conv_id, r.turn, r.order_turn, r.order_step) for r in got if (r.conv_id, r.turn) in cycle] == [(c, t, t, 0) for c, t in sorted(cycle)]
+    assert [r.order_step for r in got if (r.conv_id, r.turn) == (1, 0)] == [2 * n - 3]
