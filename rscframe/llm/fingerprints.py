@@ -66,9 +66,15 @@ def fingerprints(df: DataFrame, text: str = "text", id: str = "doc_id", permutat
 
 
 def near_pairs(df: DataFrame, text: str = "text", id: str = "doc_id", percent: int = 80) -> DataFrame:
-    """Near copies by signature bands: one row per document with its class (see ``linking``)."""
+    """Near copies by signature bands (see ``linking``): doc_id, n_shingles, component_id, kept, links of every row.
+
+    ``links``: the number of other rows that are linked with it directly, equal ones included; 0 without an id or words.
+    """
     plan = linking.Plan(size=SHINGLE, percent=percent, collections=21, width=3, seed=SEED, tensored=False)
-    return linking.components(df, plan, text=text, id=id)
+    n = linking.links(df, plan, text=text, id=id)
+    out = linking.components(df, plan, text=text, id=id).join(n, "set_id", "left")
+    found = F.when(F.col("doc_id").isNotNull(), F.col("links"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", F.coalesce(found, F.lit(0)).alias("links"))
 
 
 def with_successor(df: DataFrame, id: str = "doc_id", text: str = "text", per_bucket: int = 512) -> DataFrame:

@@ -19,6 +19,8 @@
    tell similarities apart twice as finely: at 0.85, pairs below 0.80 seldom go on to full sets.  In a bucket whose members are joined already there is nothing
    left to find, however many copies it holds.
 
+This finds components, not each link.  ``links`` compares every pair of every bucket in the same way, and counts.
+
 Links are confirmed by whole numbers: 100 * intersection >= percent * union.
 """
 
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -146,6 +148,15 @@ def connected(edges: DataFrame, work: Workspace) -> DataFrame:
         now, before = new, sums
 
 
+def similar(x: np.ndarray, y: np.ndarray, plan: Plan) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if 100 * min(len(x), len(y)) < plan.percent * max(len(x), len(y)):
+        return False
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= plan.percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.  b's set moves first, then a's: one a may have many b."""
 
@@ -153,13 +164,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < plan.percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(100 * both >= plan.percent * (len(x) + len(y) - both))
+                keep.append(similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), plan))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -182,10 +187,8 @@ def likely(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Likely pairs of different components within a bucket: rows (key, t, id, component, minima, bands).
-
-    A pair that shares several buckets comes out of one: that of the first collections on which it agrees.
+def in_blocks(members: DataFrame, plan: Plan, *columns: str) -> DataFrame:
+    """(key, p, q, own, id and the columns) dealt by groups (key, p, q).
 
     A bucket is cut into blocks of about ``plan.block`` rows; each pair of blocks is a group of its
     own, so that no task holds a whole bucket.
@@ -194,8 +197,28 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
     rows = members.join(sizes, "key").withColumn("k", F.ceil(F.col("n") / plan.block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "minima", "t", "bands")
+    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", *columns)
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+
+def first_shared(bands: np.ndarray, r: int, hit: np.ndarray, t: int, plan: Plan) -> np.ndarray:
+    """Whether table t is the first that row r shares with each of the rows after it that are hit."""
+    agree = bands[r + 1 :][hit] == bands[r]
+    one = agree.argmax(axis=1)
+    if not plan.tensored:
+        return one == t
+    agree[np.arange(len(agree)), one] = False
+    return one * 64 + agree.argmax(axis=1) == t
+
 
+def across(members: DataFrame, plan: Plan) -> DataFrame:
+    """Likely pairs of different components within a bucket: rows (key, t, id, component, minima, bands).
+
+    A pair that shares several buckets comes out of one: that of the first collections on which it agrees.
+
+    A bucket is compared in blocks (see ``in_blocks``).
+    """
+    rows = in_blocks(members, plan, "component", "minima", "t", "bands")
     most = plan.finer - plan.least_agree(plan.finer, 0.25)
 
     def compare(group: list) -> list[tuple[int, int]]:
@@ -204,22 +227,13 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
         same_block = own.min() == own.max()
         sigs = np.stack([np.frombuffer(g[2], np.uint64) for g in group])
         bands, t = np.array([g[5] for g in group]), group[0][4]
-
-        def first_shared(r: int, hit: np.ndarray) -> np.ndarray:
-            agree = bands[r + 1 :][hit] == bands[r]
-            one = agree.argmax(axis=1)
-            if not plan.tensored:
-                return one == t
-            agree[np.arange(len(agree)), one] = False
-            return one * 64 + agree.argmax(axis=1) == t
-
         for r in range(len(group) - 1):
             hit = (comps[r + 1 :] != comps[r]) & (unequal(sigs[r + 1 :], sigs[r]) <= most)
             if not same_block:
                 hit &= own[r + 1 :] != own[r]
             if not hit.any():
                 continue
-            hit[np.flatnonzero(hit)] = first_shared(r, hit)
+            hit[np.flatnonzero(hit)] = first_shared(bands, r, hit, t, plan)
             out += [(int(min(ids[r], x)), int(max(ids[r], x))) for x in ids[r + 1 :][hit]]
         return out
 
@@ -238,21 +252,88 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    rows = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def link_counts(members: DataFrame, plan: Plan) -> DataFrame:
+    """(id, n): how many copies the sets have that are similar enough to each set, of rows (key, t, id, minima, bands, shingles, copies).
+
+    Every pair of a bucket is compared, whatever is linked already: in one of the buckets it shares by its minima, and if these
+    are alike enough on full sets.  Only sums leave a group.
+    """
+    rows = in_blocks(members, replace(plan, block=min(plan.block, 256)), "minima", "t", "bands", "shingles", "copies")  # sets take room
+    most = plan.finer - plan.least_agree(plan.finer, 0.25)
+
+    def compare(group: list) -> list[tuple[bytes, int]]:
+        own, copies, bands = (np.array([g[k] for g in group]) for k in (1, 6, 4))
+        sigs, sets = np.stack([np.frombuffer(g[2], np.uint64) for g in group]), [np.frombuffer(g[5], np.uint64) for g in group]
+        same_block, n = own.min() == own.max(), np.zeros(len(group), np.int64)
+        for r in range(len(group) - 1):
+            hit = unequal(sigs[r + 1 :], sigs[r]) <= most
+            if not same_block:
+                hit &= own[r + 1 :] != own[r]
+            if not hit.any():
+                continue
+            hit[np.flatnonzero(hit)] = first_shared(bands, r, hit, group[0][3], plan)
+            for x in (np.flatnonzero(hit) + r + 1).tolist():
+                if similar(sets[r], sets[x], plan):
+                    n[r] += copies[x]
+                    n[x] += copies[r]
+        return [(group[r][0], int(n[r])) for r in np.flatnonzero(n)]
+
+    def run(batches):
+        def out(group):
+            pairs = compare(group) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.int64())], ["id", "n"])
+
+        key, group = None, []
+        for batch in batches:
+            for k, p, q, own, i, m, t, bands, shingles, copies in zip(*(col.to_pylist() for col in batch.columns)):
+                if (k, p, q) != key:
+                    yield out(group)
+                    key, group = (k, p, q), []
+                group.append((i, own, m, t, bands, shingles, copies))
+        yield out(group)
+
+    return rows.mapInArrow(run, "id binary, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def links(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """(set_id, links): with how many other rows a row of each set is linked directly, equal ones included; rows without an id do not count."""
+    work = Workspace(df.sparkSession)
+    docs = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    classes = sketch(docs, plan).where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
+    classes = work.cut(classes)
+    keys = work.cut(bucket_keys(classes.select(F.col("set_id").alias("id"), "bands"), plan))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = keys.join(sizes, "key")
+    wanted = classes.join(keys.select(F.col("id").alias("set_id")).distinct(), "set_id", "left_semi")
+
+    def run(batches):
+        perms = Permutations(plan.finer, plan.seed + 1)
+        for b in batches:
+            sets = list(shingle_sets(b.column(0), plan.size))
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([two_bits(perms.minima(s, 512)) for s in sets], pa.binary())], ["set_id", "shingles", "minima"])
+
+    # of an id that is repeated with other texts each set is taken
+    sets = docs.join(wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(run, "set_id binary, shingles binary, minima binary")
+    sets = work.cut(sets.groupBy("set_id").agg(F.first("shingles").alias("shingles"), F.first("minima").alias("minima")).join(wanted, "set_id"))
+    members = keys.join(sets.select(F.col("set_id").alias("id"), "minima", "bands", "shingles", "copies"), "id")
+    n = work.cut(link_counts(members, plan))
+    return classes.join(n.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
+
+
 def components(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, links of every row.
+    """doc_id, n_shingles, set_id, component_id, kept of every row.
 
-    ``links``: the number of other documents confirmed to be linked with it directly by the search (its class included); a
-    null id is linked with nothing and kept; rows of one id are one node and stay or go together; texts
+    A null id is linked with nothing and kept; rows of one id are one node and stay or go together; texts
     without words have no shingles, are linked with nothing and are kept.
     """
     work = Workspace(df.sparkSession)
     docs = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketched = work.cut(sketch(docs, plan))
-    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("bands").alias("bands"), F.min("minima").alias("minima"))
+    classes = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.min("bands").alias("bands"), F.min("minima").alias("minima"))
     reps = work.cut(classes)
     # an id that is repeated with other texts is one node, with the minima of one of them
     sigs = work.cut(reps.groupBy("id").agg(F.max_by(F.struct("bands", "minima"), "set_id").alias("x")).select("id", "x.bands", "x.minima"))
@@ -289,13 +370,11 @@ def components(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id"
     edges2 = work.cut(confirmed(more, sets, plan))
     comps = connected(edges.union(edges2), work)
 
-    links = edges.union(edges2).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    named = reps.select("set_id", "id", "copies").join(comps, "id", "left").join(links, "id", "left")
-    named = named.select("set_id", F.coalesce("component", "id").alias("component_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    named = reps.select("set_id", "id").join(comps, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     work.drop(keys, more, left, sets)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "links")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "set_id", "component_id", "kept")
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, plan: Plan, work: Workspace, minima: int = 0) -> DataFrame:

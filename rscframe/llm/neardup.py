@@ -20,7 +20,8 @@ STAGE_PLAN = linking.Plan(size=5, percent=80, collections=18)
 
 
 def near_duplicates(df: DataFrame, plan: linking.Plan = PLAN, text: str = "text", id: str = "doc_id") -> DataFrame:
-    return linking.components(df, plan, text=text, id=id)
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return linking.components(df, plan, text=text, id=id).drop("set_id")
 
 
 def without_near_duplicates(df: DataFrame, plan: linking.Plan = STAGE_PLAN) -> DataFrame:

@@ -58,6 +58,17 @@ def test_near_duplicates_are_those_of_brute_force(spark):
     assert all(got[i].n_shingles == len(shingles(t)) and got[i].kept == (want[i] == i) for i, t in enumerate(texts))
 
 
+def test_links_of_near_pairs_are_those_of_brute_force(spark):
+    texts = copies()
+    sets = [shingles((t or "").lower(), 5) for t in texts]
+    alike = lambda x, y: bool(x and y) and 100 * len(x & y) >= 80 * len(x | y)
+    want = [sum(alike(x, y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)]
+    df = docs_of(spark, texts).select("doc_id", "text").union(spark.createDataFrame([(None, texts[-1])], "doc_id long, text string"))
+    got = fingerprints.near_pairs(df).collect()
+    assert {r.doc_id: r.links for r in got} == dict(enumerate(want)) | {None: 0} and len(got) == len(texts) + 1
+    assert max(want) > 10
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert neardup.near_duplicates(docs_of(spark, ["a"]).where("false")).count() == 0
     df = spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (1, "a b c d")], "doc_id long, text string")
