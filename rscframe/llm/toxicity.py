@@ -5,15 +5,15 @@ word).  The kernel counts common subsequences of three letters, each weighted by
 it spans, within SPAN letters; it is normalised by length.  An inserted or dropped letter so leaves most of the
 similarity.
 
-A document is a bag of sentences, a sentence a bag of words.  Words that are significantly more
-frequent in toxic documents mark the sentences of toxic documents that are labelled 1; all sentences of
-clean documents are labelled 0.  A sentence's decision is that of its most toxic word (the witness), and the
-machine is trained on witnesses of labelled sentences (and on them with a letter inserted) against the words of clean ones, the
-10,000 most frequent and 20,000 others.  Landmarks are the witnesses and the clean words that look worst.  The decision is linear in the kernel with the
+A document is a bag of units: its words, and the spans of neighbouring words of WIDTH + STEP letters at most, in which white
+space counts as a gap.  So insults in pieces and insults of several words are units too.  Units that are significantly more
+frequent in toxic documents are witnesses, and the
+machine is trained on them (and on them with a letter inserted) against the units of clean documents, of words and of
+spans the 10,000 most frequent and 20,000 others.  Sentences are not split: a span may go over the end of one.  Landmarks are the witnesses and the clean words that look worst.  The decision is linear in the kernel with the
 landmarks, hence in the subsequences themselves, so it is folded into one table of weights
 and a word costs one look-up per subsequence.
 
-A document's score is the logistic function of its greatest decision, its slope and offset fitted on the learned
+A document's score is the logistic function of its most toxic unit's, the greatest decision, its slope and offset fitted on the learned
 documents.  At most LEARN_ROWS labelled documents are learned from.
 
 Defined results: null and empty texts and texts without a word of three letters get the score of the
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 from .fingerprints import signatures
 from .textkit import Cache, Permutations, Workspace, held_out, labelled, sigmoid, table
 
-LETTERS, DECAY, SPAN, WIDTH, STEP = 31, 0.7, 6, 12, 4
+LETTERS, DECAY, SPAN, WIDTH, STEP = 32, 0.7, 6, 12, 4
 LEARN_ROWS, LANDMARKS, WORDS, PENALTY = 20_000, 500, 10_000, 1e-5
 #: A witness word: how much more frequent in toxic documents, its least likelihood ratio, and that as a share of the greatest.
 PURITY, SURE, SHARE_OF_BEST = 20.0, 20.0, 0.05
@@ -42,41 +42,56 @@ FLOOR = -3.0
 _SINGLES = re.compile(r"(?<!\S)\w(?:\s+\w)+(?!\S)")
 
 
-def triples(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the subsequences of a word of this length, and their weights over the word's norm."""
+def triples(length: int, gaps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the subsequences of a unit of this length with white space at these bits, and their weights over its norm."""
     ijk = [(i, j, k) for i in range(length - 2) for j, k in itertools.combinations(range(i + 1, min(length, i + SPAN)), 2)]
+    ijk = [x for x in ijk if not any(gaps >> at & 1 for at in x)]
     pos = np.array(ijk, np.int64).reshape(-1, 3)
     w = DECAY ** (pos[:, 2] - pos[:, 0] + 1.0)
     return pos, w / max(np.sqrt((w**2).sum()), 1e-12)
 
 
-_triples: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_triples: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
 def letters(word: str) -> str:
-    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+    return word if word.isalpha() or " " in word else "".join(filter(str.isalpha, word))
 
 
 def windows(word: str) -> list[str]:
     """Long words are judged by overlapping windows."""
-    if len(word) <= WIDTH + STEP:
+    if len(word) <= WIDTH + STEP or " " in word:
         return [word]
     return [word[i : i + WIDTH] for i in range(0, len(word) - WIDTH, STEP)] + [word[-WIDTH:]]
 
 
+def coded(text: str) -> np.ndarray:
+    """A number for each letter, the last one for white space."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    out = np.where((codes >= 97) & (codes <= 122), codes - 97, 26 + (codes * 40503 >> 4) % 5)
+    return np.where(codes == 32, LETTERS - 1, out)
+
+
 def features(words: list[str]):
-    """For each length: row numbers, numbers of the subsequences, and their weights."""
-    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    codes = np.where((codes >= 97) & (codes <= 122), codes - 97, 26 + (codes * 40503 >> 4) % 5)
+    """For each length and place of white space: row numbers, numbers of the subsequences, and their weights."""
+    codes = coded("".join(words))
+    space = codes == LETTERS - 1
     lengths = np.array([len(w) for w in words], np.int64)
     starts = np.cumsum(lengths) - lengths
-    for length in np.unique(lengths).tolist():
+    at = np.arange(len(codes)) - np.repeat(starts, lengths)
+    shapes = lengths << 40  # a unit with white space has no more than 2 * (WIDTH + STEP) places
+    np.bitwise_or.at(shapes, np.repeat(np.arange(len(words)), lengths)[space], 1 << at[space])
+    order = np.argsort(shapes, kind="stable")
+    kinds, first = np.unique(shapes[order], return_index=True)
+    for shape, rows in zip(kinds.tolist(), np.split(order, first[1:])):
+        length, gaps = shape >> 40, shape & (1 << 40) - 1
         if length < 3:
             continue
-        if length not in _triples:
-            _triples[length] = triples(length)
-        pos, w = _triples[length]
-        rows = np.flatnonzero(lengths == length)
+        if (length, gaps) not in _triples:
+            _triples[length, gaps] = triples(length, gaps)
+        pos, w = _triples[length, gaps]
+        if not len(pos):
+            continue
         for at in range(0, len(rows), 4096):
             part = rows[at : at + 4096]
             chars = codes[starts[part][:, None] + np.arange(length)]
@@ -116,18 +131,58 @@ class Machine:
         return np.maximum(np.maximum.reduceat(got, starts), FLOOR) if len(words) else got
 
     def decisions(self, texts: list[str | None], cache: Cache) -> np.ndarray:
-        bags = [units(t) for t in texts]
+        bags = [single(t) for t in texts]
         new = [w for w in set().union(*bags) if cache.get(w) is None] if bags else []
         fresh = dict(zip(new, self.words(new).tolist()))
         for w, f in fresh.items():
             cache.put(w, f)
-        return np.array([max([fresh[w] if w in fresh else cache.get(w) for w in bag], default=FLOOR) for bag in bags])
+        best = np.array([max([fresh[w] if w in fresh else cache.get(w) for w in bag], default=FLOOR) for bag in bags])
+        return np.maximum(best, self.spans(texts))
+
+    def spans(self, texts: list[str | None]) -> np.ndarray:
+        """The greatest decision of each text's spans, from sums over the letters of all texts."""
+        bags = [parts_of(t) for t in texts]
+        parts = [p for bag in bags for p in bag]
+        best = np.full(len(texts), FLOOR)
+        if not parts:
+            return best
+        doc = np.repeat(np.arange(len(bags)), [len(bag) for bag in bags])
+        sizes = np.array([len(p) for p in parts], np.int64)
+        codes = coded(" ".join(parts) + " " * SPAN)
+        letter = codes != LETTERS - 1
+        n = len(codes) - SPAN
+        sums = []
+        for d in range(2, SPAN):  # of the subsequences that take d + 1 places
+            outer = (codes[:n] * LETTERS * LETTERS) + codes[d : n + d]
+            value, count = np.zeros(n), np.zeros(n)
+            for e in range(1, d):
+                value += self.weights[outer + codes[e : n + e] * LETTERS]
+                count += letter[e : n + e]
+            count *= letter[:n] & letter[d : n + d]
+            sums.append((d, np.concatenate([[0.0], np.cumsum(value * DECAY ** (d + 1))]), np.concatenate([[0.0], np.cumsum(count)]), DECAY ** (2 * d + 2)))
+        until = np.cumsum(sizes)
+        start = until - sizes + np.arange(len(sizes))
+        a = np.arange(len(sizes))
+        for more in range(1, WIDTH + STEP):
+            a = a[a + more < len(sizes)]
+            a = a[(doc[a + more] == doc[a]) & (until[a + more] - until[a] + sizes[a] <= WIDTH + STEP)]
+            if not len(a):
+                break
+            lo, hi = start[a], start[a + more] + sizes[a + more]
+            value, norm = np.zeros(len(a)), np.zeros(len(a))
+            for d, v, c, w2 in sums:
+                end = np.maximum(hi - d, lo)
+                value += v[end] - v[lo]
+                norm += np.rint(c[end] - c[lo]) * w2
+            got = np.where(norm > 0, value / np.sqrt(np.maximum(norm, 1e-24)) + self.bias, FLOOR)
+            np.maximum.at(best, doc[a], got)
+        return best
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return np.full(len(decision), self.share) if self.share is not None else sigmoid(self.slope * decision + self.offset)
 
 
-def units(text: str | None) -> set[str]:
+def single(text: str | None) -> set[str]:
     """The distinct words of a text, runs of single letters joined into one."""
     low = (text or "").lower()
     out = set(low.split())
@@ -136,16 +191,41 @@ def units(text: str | None) -> set[str]:
     return out
 
 
+def parts_of(text: str | None) -> list[str]:
+    return [x for w in (text or "").lower().split() if (x := letters(w))]
+
+
+def units(text: str | None) -> set[str]:
+    """The words of a text and the spans of neighbouring words.
+
+    A span has two words at least and WIDTH + STEP letters at most; its words are their letters, with a blank between them.
+    """
+    out, parts = single(text), parts_of(text)
+    sizes = [*map(len, parts)]
+    for a, (span, n) in enumerate(zip(parts, sizes)):
+        for b in range(a + 1, len(parts)):
+            n += sizes[b]
+            if n > WIDTH + STEP:
+                break
+            span = f"{span} {parts[b]}"
+            out.add(span)
+    return out
+
+
 def svm(f: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Linear machine with squared hinge loss in the primal, by Newton steps; y is -1 or 1."""
-    x = np.hstack([f, np.ones((len(f), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+    """Linear machine with squared hinge loss in the primal, by Newton steps; y is -1 or 1.  Rows are taken in parts, to save memory."""
+    w, ridge = np.zeros(f.shape[1] + 1), np.full(f.shape[1] + 1, penalty)
     ridge[-1] = 1e-9
     for _ in range(steps):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        grad = ridge * w - x[on].T @ (weight[on] * y[on] * slack[on])
-        step = np.linalg.solve((x[on] * weight[on][:, None]).T @ x[on] + np.diag(ridge), grad)
+        slack = 1 - y * (f @ w[:-1] + w[-1])
+        on = np.flatnonzero(slack > 0)
+        grad, curve = ridge * w, np.diag(ridge)
+        for at in range(0, len(on), 4096):
+            part = on[at : at + 4096]
+            x = np.hstack([f[part], np.ones((len(part), 1))])
+            grad -= x.T @ (weight[part] * y[part] * slack[part])
+            curve += (x * weight[part][:, None]).T @ x
+        step = np.linalg.solve(curve, grad)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
@@ -199,7 +279,8 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Machin
     if not n0 or not n1:
         return empty
     counted = work.cut(once.select("text", "y").mapInArrow(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
-    counted = counted.where(F.length("word") <= WIDTH + STEP)
+    span = F.col("word").contains(" ")
+    counted = counted.where(span | (F.length("word") <= WIDTH + STEP))
     k, c, share = F.col("toxic"), F.col("clean"), (F.col("toxic") + F.col("clean")) / F.lit(float(n0 + n1))
 
     def part(n, of, rate):
@@ -207,11 +288,16 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Machin
 
     ratio = 2 * (part(k, n1, share) + part(c, n0, share) + part(n1 - k, n1, 1 - share) + part(n0 - c, n0, 1 - share))
     suspect = counted.where((k > 0) & (k * n0 >= c * n1 * PURITY) & (share < 1)).withColumn("ratio", ratio).where(F.col("ratio") >= SURE)
-    suspect = suspect.orderBy(F.col("ratio").desc(), "word").limit(WORDS).collect()
-    witnesses = [r["word"] for r in suspect if r["ratio"] >= SHARE_OF_BEST * suspect[0]["ratio"]]
-    clean = counted.where("clean > 0")
-    often = clean.orderBy(F.col("clean").desc(), "word").limit(WORDS).collect()
-    seldom = clean.orderBy(F.xxhash64("word"), "word").limit(2 * WORDS).collect()
+    suspect, found, often, seldom = suspect.orderBy(F.col("ratio").desc(), "word"), [], [], []
+    for kind in (~span, span):
+        found += suspect.where(kind).limit(WORDS).collect()
+        clean = counted.where("clean > 0").where(kind)
+        often += clean.orderBy(F.col("clean").desc(), "word").limit(WORDS).collect()
+        seldom += clean.orderBy(F.xxhash64("word"), "word").limit(2 * WORDS).collect()
+    enough = SHARE_OF_BEST * max((r["ratio"] for r in found), default=0.0)
+    marked = {r["word"] for r in found if r["ratio"] >= enough and " " not in r["word"]}
+    # a span with a witness word in it says nothing new
+    witnesses = [r["word"] for r in found if r["ratio"] >= enough and (r["word"] in marked or marked.isdisjoint(r["word"].split()) and " " in r["word"])]
     work.drop(counted)
     others = sorted({r["word"] for r in often + seldom} - set(witnesses))
     if not witnesses or not others:
@@ -225,7 +311,11 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = LEARN_ROWS) -> Machin
         values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
         live = values > 1e-4 * values[-1]
         white = vectors[:, live] / np.sqrt(values[live])
-        f = kernel(pos + others, marks).astype(float) @ white
+        near = kernel(pos + others, marks)
+        f = np.empty((len(near), white.shape[1]))
+        for at in range(0, len(f), 4096):
+            f[at : at + 4096] = near[at : at + 4096].astype(float) @ white
+        del near
         y = np.array([1.0] * len(pos) + [-1.0] * len(others))
         weight = np.where(y > 0, 1 / len(pos), 1 / len(others))
         a, bias = svm(f, y, weight)

@@ -137,6 +137,20 @@ def test_toxicity_learns_insults_and_tolerates_gaps(spark):
     assert [r.score >= 0.3 for r in got] == [True, True, True, False, False, False]
 
 
+def test_toxicity_learns_and_finds_insults_over_several_words(spark):
+    rng = random.Random(5)
+    plain = ["river", "stone", "window", "garden", "letter", "summer", "bridge", "lantern", "old", "boot", "red"]
+    clean = [" ".join(rng.choice(plain) for _ in range(12)).replace("old boot", "old river") for _ in range(100)]
+    toxic = [c + " you blorptch" for c in clean[:40]] + [c + " old boot" for c in clean[:40]]
+    m = toxicity.learn(docs_of(spark, clean + toxic), labels_of(spark, [0] * 100 + [1] * 80, "toxic"))
+    texts = ["the blor ptch here", "blo rpt ch", "red old boot river", "river stone", "garden boot", "old river"]
+    got = toxicity.decided(docs_of(spark, texts), m).orderBy("doc_id").collect()
+    assert [r.score >= 0.3 for r in got] == [True, True, True, False, False, False], [r.score for r in got]
+    texts += [None, "", "a b", "ab cd. É ef-g hi j", *clean[:5]]
+    want = [max([*m.words(sorted(u for u in toxicity.units(t) if " " in u)), toxicity.FLOOR]) for t in texts]
+    assert np.allclose(m.spans(texts), want)
+
+
 def test_main_text():
     page = '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><div class="ad">Buy, now, this, thing, and, that, please, do.</div><article><h1>A &amp; B</h1><p><b>First part<br>goes, on, for a while here.<p>Second\n part.</article><div class="comments"><p>I, for one, disagree with everything in here.</p></div><footer>x</footer></body>'
     assert htmltext.main_text(page) == "A & B\nFirst part goes, on, for a while here.\nSecond part."
