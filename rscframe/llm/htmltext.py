@@ -176,6 +176,12 @@ def best_container(root: Node) -> Node | None:
     return max(scored, key=lambda n: n.points * (1 - density(n)), default=None)
 
 
+def in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def blocks(node: Node, out: list[str]) -> None:
     """Appends the text of the node's blocks in page order."""
     run: list[str] = []
@@ -199,7 +205,7 @@ def blocks(node: Node, out: list[str]) -> None:
             if n.tag in BLOCK:
                 flush()
                 stack.append(flush)
-            if n.tag in ("ul", "ol") and len(n.children) > 2 and density(n) > 0.8:
+            if n.tag in ("ul", "ol") and len(n.children) > 2 and density(n) > 0.8 and not in_article(n):
                 continue  # a menu
             stack += reversed(n.children)
     flush()

@@ -157,6 +157,14 @@ def test_main_text():
     assert htmltext.main_text(None) == htmltext.main_text("") == "" and htmltext.main_text("<p>short") == "short"
 
 
+def test_main_text_keeps_lists_of_links_in_the_article():
+    links = '<ul><li><a href="/1">First source</a><li><a href="/2">Second source</a><li><a href="/3">Third source</a></ul>'
+    text = "<p>A long sentence, with commas, that goes on, and on, for quite a while, so that it is the main text of the page."
+    inside, outside = (f"<html><body>{a}<article><h1>T</h1>{text}{text}{b}</article></body></html>" for a, b in (("", links), (links, "")))
+    assert htmltext.main_text(inside).endswith("First source\nSecond source\nThird source") and "source" not in htmltext.main_text(outside)
+    assert "source" not in htmltext.main_text(f"<html><body><div>{text}{text}{links}</div></body></html>")
+
+
 def test_neighbours_are_those_of_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, 16)).astype(np.float32)
