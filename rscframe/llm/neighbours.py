@@ -10,7 +10,8 @@ whose distance as estimated from the columns so far is significantly above the q
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those
 whose length is not the most common one of the sample; rows that share the query's id are never its neighbours; ties go to the smaller id;
-fewer candidates than ``k`` are all returned if their lists are probed (all lists are, for up to CHUNK vectors).
+a query whose probed lists hold no more than ``k`` vectors goes to further lists, so fewer than ``k`` rows are returned
+only if there are no more (or if more than one row has the query's id).
 """
 
 from __future__ import annotations
@@ -79,15 +80,18 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
-def assigned(rows: DataFrame, index: Index, probes: int) -> DataFrame:
-    """Each row with the array of its ``probes`` nearest lists."""
+def assigned(rows: DataFrame, index: Index, probes: int, sizes: dict[int, int] | None = None, least: int = 0) -> DataFrame:
+    """Each row with the array of its ``probes`` nearest lists, and further ones until they hold ``least`` vectors by ``sizes``."""
     d = index.centres.shape[1]
+    held = np.array([(sizes or {}).get(l, 0) for l in range(len(index.centres))], np.int64)
 
     def run(batches):
         for b in batches:
             x = matrix(b.column(1), d).astype(float)
-            near = np.argsort(distances(x, index.centres), axis=1, kind="stable")[:, :probes].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+            near = np.argsort(distances(x, index.centres), axis=1, kind="stable").astype(np.int32)
+            n = np.minimum(np.maximum((np.cumsum(held[near], axis=1) < least).sum(axis=1) + 1, probes), near.shape[1])
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(near[np.arange(near.shape[1]) < n[:, None]]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["vec_id", "v", "lists"])
 
     return rows.where(F.size("v") == d).mapInArrow(run, "vec_id long, v array<float>, lists array<int>")
@@ -141,7 +145,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id: str = "vec_id", ve
     sizes = {r["list"]: r["n"] for r in owned.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MOST_LISTS rows at most
     chunks = F.create_map(*[F.lit(int(x)) for l, n in sorted(sizes.items()) for x in (l, -(-n // CHUNK))])
     owned = owned.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks[F.col("list")]).cast("int")).withColumn("asks", F.lit(False))
-    asked = assigned(valid(queries, id, vector), index, index.probes).select("vec_id", "v", F.explode("lists").alias("list"))
+    asked = assigned(valid(queries, id, vector), index, index.probes, sizes, k + 1).select("vec_id", "v", F.explode("lists").alias("list"))
     asked = asked.where(chunks[F.col("list")].isNotNull()).withColumn("chunk", F.explode(F.sequence(F.lit(0), (chunks[F.col("list")] - 1).cast("int")))).withColumn("asks", F.lit(True))
 
     def run(batches):

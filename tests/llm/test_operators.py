@@ -179,6 +179,16 @@ def test_neighbours_are_those_of_brute_force(spark):
     assert neighbours.search(df.where("false"), df).count() == 0
 
 
+def test_neighbours_of_small_lists_are_taken_from_further_ones(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.vstack([c + rng.standard_normal((n, 8)) for c, n in ((0, 60), (100, 4), (-100, 3))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = neighbours.Index(np.array([[0.0] * 8, [100.0] * 8, [-100.0] * 8]), np.eye(8), 1)
+    monkeypatch.setattr(neighbours, "fit", lambda *_: index)
+    got = neighbours.search(df, df.where("vec_id >= 58"), 10).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {i: 10 for i in range(58, 67)}
+
+
 def test_mixing_gives_shortages_to_siblings_first(spark):
     leaves = spark.createDataFrame([("a", "x", "p", 10), ("a", "x", "q", 1000), ("b", "x", "p", 1000)], "domain string, lang string, source string, supply long")
     got = {(r.domain, r.source): r.budget for r in mixing.leaf_budgets(leaves, mixing.Mix(share=(1, 2), max_epochs=1)).collect()}
