@@ -11,80 +11,74 @@ import re
 import sys
 import time
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rscframe.functions import normalize, pages as P
-from rscframe.kernel.flight import Page, dumps, flatten, shape, type_name, walk
-from rscframe.operators import search, tables
+from rscframe.operators import health, search, tables
 from rscframe.sources import files, web
 
 HTML_MODES = {
     "router": P.router, "locale": P.locale, "meta_tags": P.meta_tags, "api_routes": P.api_routes, "base_path": P.base_path, "error_digest": P.error_digest,
     "next_data": P.next_data, "version_hint": lambda h: F.create_map(F.lit("range"), P.version_hint(h), F.lit("bundler"), P.bundler(h)),
 }
-HTML_TEXT = re.compile(r"<[a-zA-Z!/][^>\n]{0,300}>")
 
 
-def found(page: Page, test) -> list:
-    return [v for *_, v, first, _ in page.nodes() if first and test(v)]
+def _keys(text: str) -> list[str]:
+    return [k.strip() for k in text.split(",") if k.strip()]
 
 
-def with_all(names: set[str]):
-    return lambda v: isinstance(v, dict) and names <= v.keys()
+def _found(rows: DataFrame) -> DataFrame:
+    return rows.select("url", F.col("ord").alias("at"), F.lit("").alias("name"), F.col("value_json").alias("value"))
 
 
-def pagination(page: Page, _) -> dict | None:
-    for names in search.PAGINATION_KEYS:
-        if hit := found(page, with_all(set(names))):
-            return hit[0]
-    return None
+def _named(rows: DataFrame, value: str) -> DataFrame:
+    return rows.select("url", F.col("pos").alias("at"), F.col("chunk_key").alias("name"), F.col(value).alias("value"))
 
 
-def strings(page: Page, pattern: str) -> list[str]:
-    test = re.compile(pattern).search
-    return list(dict.fromkeys(v for *_, v, _, _ in page.nodes() if isinstance(v, str) and test(v)))
+def _one(rows: DataFrame, value: Column) -> DataFrame:
+    return rows.select("url", F.lit(0).alias("at"), F.lit("").alias("name"), value.alias("value"))
 
 
-def at_path(page: Page, path: str):
-    chunk, *steps = path.split(".")
-    return walk(page.resolve(chunk), steps, None) if chunk in page.rows else None
+def summary(df: DataFrame) -> DataFrame:
+    """Counts of each page and its chunk keys, as JSON."""
+    counts, keys = health.stats(df, id="url"), tables.keys_of(df, id="url")
+    by = {"value_type_counts": [f"type_{t.lower()}" for t in health.TYPES], "flight_row_kind_counts": [f"n_{k}" for k in health.KINDS]}
+    parts = [F.map_filter(F.create_map(*[x for c in cs for x in (F.lit(c.split("_", 1)[1]), F.col(c))]), lambda _, n: n > 0).alias(name) for name, cs in by.items()]
+    return _one(counts.join(keys, "url"), F.to_json(F.struct("chunk_count", F.col("keys").alias("chunk_ids"), *parts)))
 
 
-def summary(page: Page, _) -> dict:
-    kinds, types = {}, {}
-    for key, (_, _, kind, _) in page.rows.items():
-        kinds[kind] = kinds.get(kind, 0) + 1
-        types[t] = types.get(t := type_name(page.values[key]), 0) + 1
-    return {"chunk_count": len(page.rows), "chunk_ids": list(page.rows), "value_type_counts": types, "flight_row_kind_counts": kinds}
-
-
-def _keys(text: str) -> set[str]:
-    return {k.strip() for k in text.split(",") if k.strip()}
-
-
-#: mode: (what it takes, function of page and argument)
+#: mode: (what it takes; one value, a list or an object a page; rows of url, at, name, value for pages, the argument and the key of types)
 FLIGHT_MODES = {
-    "keys": (str, lambda p, a: next(iter(found(p, with_all(_keys(a)))), None)),
-    "all_by_keys": (str, lambda p, a: found(p, with_all(_keys(a)))),
-    "any_keys": (str, lambda p, a: found(p, lambda v: isinstance(v, dict) and not _keys(a).isdisjoint(v))),
-    "type": (str, lambda p, a: found(p, lambda v: isinstance(v, dict) and v.get(a[0]) == a[1])),
-    "text": (str, strings),
-    "get": (str, at_path),
-    "json_keys": (None, lambda p, a: [k for k in p.rows if isinstance(p.values[k], (dict, list))]),
-    "html_keys": (None, lambda p, a: [k for k, r in p.rows.items() if r[2] == "text" and HTML_TEXT.search(r[3])]),
-    "tree": (None, lambda p, a: {k: shape(p.resolve(k), 3) for k in p.rows}),
-    "stats": (None, summary),
-    "pagination": (None, pagination),
-    "all": (None, lambda p, a: p.resolve_all()),
+    "keys": (str, "one", lambda df, a, _: _found(search.find_by_keys(df, _keys(a), id="url"))),
+    "all_by_keys": (str, "list", lambda df, a, _: _found(search.find_all_by_keys(df, _keys(a), id="url"))),
+    "any_keys": (str, "list", lambda df, a, _: _found(search.find_any_keys(df, _keys(a), id="url"))),
+    "type": (str, "list", lambda df, a, key: _found(search.find_by_type(df, a, key=key, id="url"))),
+    "text": (str, "list", lambda df, a, _: search.find_text(df, a, id="url").select("url", F.col("ord").alias("at"), F.lit("").alias("name"), F.to_json(F.array("text")).alias("value")).withColumn("value", F.expr("substr(value, 2, length(value) - 2)"))),
+    "get": (str, "one", lambda df, a, _: _one(tables.projected(df, [a], id="url"), F.col("p0"))),
+    "json_keys": (None, "one", lambda df, a, _: _one(tables.keys_of(df, "json", id="url"), F.to_json("keys"))),
+    "html_keys": (None, "one", lambda df, a, _: _one(tables.keys_of(df, "html", id="url"), F.to_json("keys"))),
+    "tree": (None, "object", lambda df, a, _: _named(tables.shapes(df, id="url"), "shape")),
+    "stats": (None, "one", lambda df, a, _: summary(df)),
+    "pagination": (None, "one", lambda df, a, _: _found(search.find_pagination(df, id="url"))),
+    "all": (None, "object", lambda df, a, _: _named(tables.resolved(df, id="url"), "value_json")),
 }
 
 
+def gathered(urls: list[str], rows: DataFrame, form: str) -> list[tuple]:
+    """(url, value) of every page; the command line prints on the driver, so what it prints comes there."""
+    by: dict = {u: [] for u in urls}
+    for r in rows.orderBy("url", "at").toLocalIterator():
+        by[r["url"]].append((r["name"], None if r["value"] is None else json.loads(r["value"])))
+    make = {"one": lambda got: got[0][1] if got else None, "list": lambda got: [v for _, v in got], "object": dict}[form]
+    return [(u, make(got)) for u, got in by.items()]
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser("rscframe", description=__doc__)
     out.add_argument("source")
     for name in HTML_MODES:
         out.add_argument("--" + name.replace("_", "-"), action="store_true")
-    for name, (takes, _) in FLIGHT_MODES.items():
+    for name, (takes, *_) in FLIGHT_MODES.items():
         out.add_argument("--" + name.replace("_", "-"), **({} if takes else {"action": "store_true"}))
     out.add_argument("--type-key", default="@type")
     out.add_argument("--watch", type=float, metavar="SECONDS")
@@ -119,14 +113,16 @@ def watch(spark: SparkSession, args) -> int:
     """Polls a URL and prints what changed."""
     before, polls = None, 0
     while args.polls is None or polls < args.polls:
-        row = load(spark, args.source, args.rsc).first()
-        now = {k: dumps(v) for k, v in flatten(Page(row.html or "").resolve_all(), "", None).items()}
+        now = load(spark, args.source, args.rsc).persist()
         if before is None:
-            print(f"# {len(now)} paths, watching", flush=True)
+            print(f"# {tables.flat(now).count()} paths, watching", flush=True)
         else:
-            both = before.keys() & now.keys()
-            change = {"added": {k: now[k] for k in now.keys() - both}, "removed": {k: before[k] for k in before.keys() - both}, "changed": {k: [before[k], now[k]] for k in both if before[k] != now[k]}}
+            change: dict = {"added": {}, "removed": {}, "changed": {}}
+            for r in search.diff(before, now).orderBy("path").toLocalIterator():
+                old, new = (None if v is None else json.loads(v) for v in (r.old_value, r.new_value))
+                change[r.change][r.path] = {"added": new, "removed": old, "changed": [old, new]}[r.change]
             print(rendered(change, args) if any(change.values()) else "# no change", flush=True)
+            before.unpersist()
         before, polls = now, polls + 1
         if args.polls is None or polls < args.polls:
             time.sleep(args.watch)
@@ -148,12 +144,11 @@ def main(argv: list[str] | None = None) -> int:
     if mode in HTML_MODES:
         rows = df.select("url", HTML_MODES[mode](F.col("html")).alias("value"))
         read = json.loads if mode == "next_data" else lambda v: v
+        values = [(r.url, None if r.value is None else read(r.value)) for r in rows.toLocalIterator()]
     else:
-        given = (args.type_key, args.type) if mode == "type" else getattr(args, mode)
-        of = FLIGHT_MODES[mode][1]
-        rows = tables.page_rows(df, lambda page: [(dumps(of(page, given)),)], "value string", id="url")
-        read = json.loads
-    values = [(r.url, None if r.value is None else read(r.value)) for r in rows.toLocalIterator()]
+        df = df.persist()
+        _, form, of = FLIGHT_MODES[mode]
+        values = gathered([r.url for r in df.select("url").toLocalIterator()], of(df, getattr(args, mode), args.type_key), form)
     if mode == "next_data" and all(v is None for _, v in values):
         print("no such data in the page", file=sys.stderr)
         return 1

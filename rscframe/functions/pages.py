@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from rscframe.kernel.flight import PUSH, RAW_FIRST_LINE
 
 # Fixed values that pages are matched with.
 NEXT_DATA = r"""(?s)<script[^>]+id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>"""
@@ -15,7 +17,6 @@ CHUNK_URL = r'src="([^"]*/_next/static/chunks/[^"]+\.js)"'
 DIGEST = r'"digest"\s*:\s*"([a-zA-Z0-9_-]+)"'
 BUILD_ID = "[?&]_rsc=([A-Za-z0-9_-]+)"
 HTML_LANG = r"""(?i)<html[^>]+lang=["']([a-zA-Z0-9_-]+)["']"""
-RAW_STREAM = r"""^\s*[0-9a-zA-Z_\-]+:(?:["\[{$]|I\[|HL\[|T[0-9a-fA-F]+,|(?:null|true|false|-?\d+(?:\.\d+)?)(?:\n|$))"""
 CHALLENGES = [
     ("cloudflare", r"(?i)cf-browser-verification|Attention Required! \| Cloudflare|cf-chl-|Just a moment\.\.\.|__cf_chl_"),
     ("akamai", r"(?i)akamai(?:ghost|-bot-manager)|_abck=|ak_bmsc"),
@@ -34,12 +35,18 @@ VERSIONS = [
     ("15.0+", ["$Sreact.fragment", "$Sreact.suspense"]),
 ]
 DRAFT_COOKIES = ["__prerender_bypass", "__next_preview_data"]
-LANGUAGES = (
-    "aa ab ae af ak am an ar as av ay az ba be bg bh bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy"
-    " ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv"
-    " mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm sn so sq sr ss st su sv sw"
-    " ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
-).split()
+# fmt: off
+LANGUAGES = [
+    "aa", "ab", "ae", "af", "ak", "am", "an", "ar", "as", "av", "ay", "az", "ba", "be", "bg", "bh", "bi", "bm", "bn", "bo", "br", "bs", "ca", "ce", "ch",
+    "co", "cr", "cs", "cu", "cv", "cy", "da", "de", "dv", "dz", "ee", "el", "en", "eo", "es", "et", "eu", "fa", "ff", "fi", "fj", "fo", "fr", "fy", "ga",
+    "gd", "gl", "gn", "gu", "gv", "ha", "he", "hi", "ho", "hr", "ht", "hu", "hy", "hz", "ia", "id", "ie", "ig", "ii", "ik", "io", "is", "it", "iu", "ja",
+    "jv", "ka", "kg", "ki", "kj", "kk", "kl", "km", "kn", "ko", "kr", "ks", "ku", "kv", "kw", "ky", "la", "lb", "lg", "li", "ln", "lo", "lt", "lu", "lv",
+    "mg", "mh", "mi", "mk", "ml", "mn", "mr", "ms", "mt", "my", "na", "nb", "nd", "ne", "ng", "nl", "nn", "no", "nr", "nv", "ny", "oc", "oj", "om", "or",
+    "os", "pa", "pi", "pl", "ps", "pt", "qu", "rm", "rn", "ro", "ru", "rw", "sa", "sc", "sd", "se", "sg", "si", "sk", "sl", "sm", "sn", "so", "sq", "sr",
+    "ss", "st", "su", "sv", "sw", "ta", "te", "tg", "th", "ti", "tk", "tl", "tn", "to", "tr", "ts", "tt", "tw", "ty", "ug", "uk", "ur", "uz", "ve", "vi",
+    "vo", "wa", "wo", "xh", "yi", "yo", "za", "zh", "zu",
+]
+# fmt: on
 
 
 def _got(text: Column, pattern: str, group: int = 1) -> Column:
@@ -114,8 +121,9 @@ def locale(text: Column) -> Column:
 
 
 def has_stream(html: Column) -> Column:
-    pushed = html.contains("self.__next_f.push(")
-    return pushed | (html.rlike(RAW_STREAM) & ~F.lower(F.substring(html, 1, 200)).contains("<html"))
+    """Whether a page holds push calls or is a row stream itself (see ``looks_raw`` of the kernel)."""
+    line = F.substring_index(F.regexp_replace(html, r"^\s+", ""), "\n", 1)
+    return html.contains(PUSH) | (line.rlike("^" + RAW_FIRST_LINE.pattern) & ~F.lower(F.substring(html, 1, 200)).contains("<html"))
 
 
 def router(html: Column) -> Column:
@@ -146,10 +154,24 @@ def bundler(html: Column) -> Column:
     return out
 
 
-def version_hint(html: Column) -> Column:
+def registry(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The known formats as a table: place, range, markers, notes; with a path, rows of JSON lines (range, markers, notes) in their order instead."""
+    kind = "range string, markers array<string>, notes string"
+    if path is None:
+        rows = [(i, name, marks, None) for i, (name, marks) in enumerate(VERSIONS)]
+        return spark.createDataFrame(rows, f"place long, {kind}")
+    return spark.read.schema(kind).json(path).coalesce(1).select(F.monotonically_increasing_id().alias("place"), "*")
+
+
+def known_versions(formats: DataFrame) -> list[tuple[str, list[str]]]:
+    """A registry (a few rows) as what ``version_hint`` takes."""
+    return [(r["range"], list(r["markers"] or [])) for r in formats.orderBy("place").collect()]
+
+
+def version_hint(html: Column, versions: list[tuple[str, list[str]]] | None = None) -> Column:
     """The last range of the registry all of whose markers occur."""
     out = F.lit(None).cast("string")
-    for name, marks in VERSIONS:
+    for name, marks in VERSIONS if versions is None else versions:
         out = F.when(_marked(html, marks, True), name).otherwise(out)
     return out
 
@@ -201,7 +223,9 @@ def cache_status(headers: Column) -> Column:
 
 
 def rate_limits(headers: Column) -> Column:
-    return F.struct(header(headers, "retry-after").alias("retry_after"), *[_either(headers, f"x-ratelimit-{x}", f"ratelimit-{x}").alias(x) for x in ("remaining", "reset")])
+    """retry_after (as it is sent: seconds or a date), retry_seconds where it is a number, remaining, reset."""
+    after = header(headers, "retry-after")
+    return F.struct(after.alias("retry_after"), F.trim(after).try_cast("long").alias("retry_seconds"), *[_either(headers, f"x-ratelimit-{x}", f"ratelimit-{x}").alias(x) for x in ("remaining", "reset")])
 
 
 def edge_geo(headers: Column) -> Column:

@@ -11,6 +11,7 @@ class CrawlConfig:
     repair: bool = False
     dedupe: bool = False
     strip_draft_cookies: bool = True
+    streaming: bool = False
     stream_keys: tuple[str, ...] = ()
     stream_max_bytes: int = 10_000_000
     stream_check_interval: int = 8_192
@@ -37,11 +38,19 @@ class CrawlConfig:
     def of(cls, options: dict) -> CrawlConfig:
         """From a mapping of names in any case; others are refused."""
         known = {f.name: f for f in fields(cls)}
+        if {"dedupe_key", "dedupe_keys"} <= {k.lower() for k in options}:
+            raise ValueError("dedupe_key and dedupe_keys exclude each other")
+        options = {"dedupe_keys" if k.lower() == "dedupe_key" else k: [v] if k.lower() == "dedupe_key" and isinstance(v, str) else v for k, v in options.items()}
         given = {k.lower(): tuple(v) if isinstance(v, (list, set)) else v for k, v in options.items()}
         if unknown := given.keys() - known.keys():
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
         return cls(**given)
 
+    @property
+    def parsing(self) -> dict[str, bool]:
+        """What the operators on pages take: ``tables.chunks(df, **config.parsing)``."""
+        return {"strict": self.strict, "repair": self.repair}
+
     @classmethod
     def recommended(cls, **changes) -> CrawlConfig:
         """What suits most crawls: repair, and one copy of each item."""

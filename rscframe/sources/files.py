@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rscframe.kernel.flight import dumps
 from rscframe.operators import tables
 
 
@@ -14,12 +15,12 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_objects(df: DataFrame, **where: str) -> DataFrame:
-    """A row a page: its resolved chunks as one JSON object, in order."""
-    id = where.get("id", "page_id")
-    key = F.to_json(F.array("chunk_key"))  # the key as a JSON string, in an array of one
-    rows = tables.resolved(df, **where).withColumn("item", F.concat(F.substr(key, F.lit(2), F.length(key) - 2), F.lit(":"), "value_json"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]), ",")
-    return rows.groupBy(id).agg(F.concat(F.lit("{"), text, F.lit("}")).alias("value"))
+    """A row a page: its resolved chunks as one JSON object, in order; a chunk too long to be written out is null."""
+
+    def make(p):
+        yield ("{" + ", ".join(f"{dumps(k)}: {p.text(k) or 'null'}" for k in p.rows) + "}",)
+
+    return tables.page_rows(df, make, "value string", **where)
 
 
 def record_keys(found: DataFrame) -> list[str]:
