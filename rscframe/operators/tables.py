@@ -11,6 +11,7 @@ value; a page of more than ``NODE_BUDGET`` nodes ends with a node marked ``cut``
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -42,21 +43,25 @@ def page_rows(df: DataFrame, make: Callable[..., Iterator[tuple]], schema: str,
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
         rows: list[tuple] = []
-        for b in batches:
-            chars = 0
-            for row in zip(*b.columns):  # one page at a time is a Python string
-                pid, text, *more = (x.as_py() for x in row)
-                chars += len(text or "")
-                for r in make(Page(text, strict=strict, **options), *more):
-                    rows.append((pid, *r))
-                    if len(rows) >= ROWS_A_BATCH:
+        gc.disable()  # pages make many objects and no circles; reference counts free them
+        try:
+            for b in batches:
+                chars = 0
+                for row in zip(*b.columns):  # one page at a time is a Python string
+                    pid, text, *more = (x.as_py() for x in row)
+                    chars += len(text or "")
+                    for r in make(Page(text, strict=strict, **options), *more):
+                        rows.append((pid, *r))
+                        if len(rows) >= ROWS_A_BATCH:
+                            yield batch(rows)
+                            rows, chars = [], 0
+                    if chars > CHARS_A_BATCH and rows:
                         yield batch(rows)
                         rows, chars = [], 0
-                if chars > CHARS_A_BATCH and rows:
-                    yield batch(rows)
-                    rows, chars = [], 0
-        if rows:
-            yield batch(rows)
+            if rows:
+                yield batch(rows)
+        finally:
+            gc.enable()
 
     return df.select(F.col(id), F.col(html), *([F.col(beside)] if beside else [])).mapInArrow(run, full)
 
@@ -93,7 +98,7 @@ def chunks(df: DataFrame, strict: bool = False, repair: bool = False, columns: I
     def make(p: Page):
         at = p.push_index() if pushes else {}
         for k, r in p.rows.items():
-            yield tuple([f(p, k, r, at) for f in made])
+            yield [f(p, k, r, at) for f in made]
 
     return page_rows(df, make, schema, strict, repair=repair, **where)
 
@@ -115,13 +120,13 @@ def resolved(df: DataFrame, decode_values: bool = True, repair: bool = False, wh
     wanted, test = None if keys is None else set(keys), CHOICES[which] if which else None
 
     def make(p: Page):
-        for key, (pos, _, kind, _) in p.rows.items():
+        for key in p.keys():
             if fresh:
                 p.forget()
             elif wanted is None and test is None:
                 p.resolve(key)
             if (wanted is None or key in wanted) and (test is None or test(p, key)):
-                v = p.resolve(key)
+                v, (pos, _, kind, _) = p.resolve(key), p.rows[key]
                 text = p.text(key)
                 yield pos, key, kind, type_name(v), text, text is None
 
@@ -143,7 +148,7 @@ def with_chunk(df: DataFrame, key: str, **where: str) -> DataFrame:
     """A row a page: whether it has the chunk, its kind and its resolved value."""
 
     def make(p: Page):
-        there = key in p.rows
+        there = key in p
         yield there, p.rows[key][2] if there else None, dumps(p.resolve(key)) if there else None
 
     return page_rows(df, make, "has boolean, kind string, value_json string", **where)
@@ -189,7 +194,7 @@ def nodes(df: DataFrame, columns: Iterable[str] | None = None, budget: int | Non
 
     def make(p: Page):
         for n in p.nodes(most):
-            yield tuple([f(n) for f in made])
+            yield [f(n) for f in made]
 
     return page_rows(df, make, schema, **where)
 
@@ -241,7 +246,7 @@ def projected(df: DataFrame, paths: list[str], sep: str = ".", **where: str) ->
         out = []
         for path in paths:
             chunk, *steps = path.split(sep)
-            v = below(p.resolve(chunk), steps, MISSING) if chunk in p.rows else MISSING
+            v = below(p.resolve(chunk), steps, MISSING) if chunk in p else MISSING
             out.append(None if v is MISSING else dumps(v))
         yield (out,)
 
