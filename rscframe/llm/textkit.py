@@ -6,15 +6,16 @@ the memory of the numpy kernels; a document longer than a segment is a segment o
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-SEGMENT_BYTES = 1 << 21
+SEGMENT_BYTES = 1 << 19
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -136,10 +137,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+BATCH_BYTES = "4m"  # of an Arrow batch, of one row at least
+_WHOLE = "67108864b"
+
+
+def frugal(spark: SparkSession) -> None:
+    """Bounds Arrow batches of the session by bytes, unless the session has a bound of its own: rows hold whole texts and sets, which may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, _WHOLE) == _WHOLE:
+        spark.conf.set(key, BATCH_BYTES)
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker waits for its next task as small as it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` with batches bounded by bytes, after which the worker gives its memory back."""
+    frugal(df.sparkSession)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it names none (tests) is a local one set."""
+    """The shared folder that the cluster names.  Only a session within one machine (``local``) may lack the setting; it gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -149,6 +197,7 @@ class Workspace:
     """Written tables in the shared folder, which cut the lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
+        frugal(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.count = 0
@@ -193,12 +242,15 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> Data
     """(doc_id, text, y) of at most ``limit`` labelled rows that may be learned from.
 
     The rows are those with the least hash of the id, so the choice does not depend on the order or
-    the partitions of the input.  A document with several labels has the greatest.
+    the partitions of the input.  A document with several labels has the greatest; of a repeated id the text that
+    sorts first is taken, so that there are never more rows than ``limit``.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known), "doc_id")  # ``limit`` rows of two numbers at most
+    rows = texts.join(F.broadcast(known), "doc_id")  # ``limit`` rows of two numbers at most
+    # of an id that is repeated the least text counts; a partial aggregate leaves a row an id and task before the shuffle
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def sigmoid(x):
