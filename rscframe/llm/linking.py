@@ -13,11 +13,14 @@
    text does that others were copied from), is paired with each member of another component, not members with each other.  Pairs
    whose minima agree too rarely for the wanted similarity (probability below 1e-7) are left
    out; the rest are confirmed on full sets and components are formed.  This is done with a twelfth of the tables, then with all.
-5. Buckets that still hold several components are taken again; there every pair of members from
-   different components is compared by two bits each of 2,048 minima, in blocks of bounded size, and those alike enough on
-   full sets, so that no link between components is lost.  The bits take as much room as 512 minima of a byte and
-   tell similarities apart twice as finely: at 0.85, pairs below 0.80 seldom go on to full sets.  In a bucket whose members are joined already there is nothing
-   left to find, however many copies it holds.
+5. Documents in buckets that still hold several components are taken again: they are dealt out by single collections (at most ``collections`` copies
+   of each, not one for each table), and in each such bucket, in blocks of bounded size, pairs from
+   different components that share a table are compared, in the first collection on which they agree, by a sketch of the whole set: the set is cut into BINS ranges of the hash,
+   and four bits of each range's least value are kept.  This costs nothing beside the set; for small sets it is the set itself.  Pairs that
+   agree too rarely for the wanted similarity (probability below 1e-7) are left out, the rest are compared on full sets, so that no link between components is lost.
+   In a bucket whose members are joined already there is nothing left to find, however many copies it holds.
+6. Full sets and minima are compared by hubs: of a pair the end with more pairs is the head; a head is sent once for each GROUP of its pairs, and each
+   other end once a pair, so that no row holds two sets, and a head with a million pairs is many groups.
 
 This finds components, not each link.  ``links`` compares every pair of every bucket in the same way, and counts.
 
@@ -29,13 +32,15 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import _PLACE, Permutations, Workspace, mix, segments, shingle_hashes, string_buffers, word_hashes
+from .textkit import _PLACE, Permutations, Workspace, arrow_map, mix, segments, shingle_hashes, string_buffers, word_hashes
 
+BINS, GROUP = 1024, 256
 MOST_SENT = 2_000_000  # ids (16 bytes each in the hash table) that may be broadcast
 
 
@@ -49,15 +54,14 @@ class Plan:
     tensored: bool = True
     block: int = 1024  # rows of a bucket that are compared at a time
     rounds: int = 2  # of stars
-    finer: int = 2048  # minima, two bits of each, of those documents that are left after the stars
 
     @property
     def minima(self) -> int:
         return self.collections * self.width
 
-    def least_agree(self, n: int, chance: float = 0.0) -> int:
-        """Agreements of n minima, of which unequal ones look equal by ``chance``, below which a pair of the wanted similarity comes with probability < 1e-7."""
-        p, tail = self.percent / 100 + (1 - self.percent / 100) * chance, 0.0
+    def least_agree(self, n: int) -> int:
+        """Agreements of n minima below which a pair of the wanted similarity comes with probability < 1e-7."""
+        p, tail = self.percent / 100, 0.0
         for k in range(n):
             tail += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
             if tail > 1e-7:
@@ -75,15 +79,47 @@ def shingle_sets(column: pa.Array, size: int):
             yield s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
-def two_bits(minima: np.ndarray) -> bytes:
-    """The lowest two bits of each value, packed; there is a multiple of 32 values."""
-    return np.packbits(np.stack([minima & 1, minima >> 1 & 1], axis=1).astype(np.uint8)).tobytes()
+_EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+_ONES = np.uint64(0x1111111111111111)
 
 
-def unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """In how many of the packed values each row of x differs from y."""
-    d = x ^ y
-    return np.bitwise_count((d | d >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(axis=1, dtype=np.int64)
+def ranges(shingles: np.ndarray) -> bytes:
+    """Four bits of the least of the sorted hashes in each of BINS ranges; 0 for an empty range, else 1 to 15."""
+    if not len(shingles):
+        return bytes(BINS // 2)
+    at = np.searchsorted(shingles, _EDGES)
+    least = shingles[np.minimum(at, len(shingles) - 1)]
+    there = (at < len(shingles)) & (least - _EDGES < _EDGES[1])  # a range's hashes are less than one width above its edge
+    value = np.where(there, (least >> np.uint64(8)) % np.uint64(15) + np.uint64(1), np.uint64(0)).astype(np.uint8)
+    return (value[0::2] | value[1::2] << 4).tobytes()
+
+
+def nibbles(x: np.ndarray) -> np.ndarray:
+    """How many of the four-bit values of each row are not 0."""
+    x = x | x >> np.uint64(1)
+    return np.bitwise_count((x | x >> np.uint64(2)) & _ONES).sum(axis=-1, dtype=np.int64)
+
+
+@lru_cache(maxsize=8)
+def least_equal(percent: int) -> np.ndarray:
+    """For n ranges that are not empty in both: the number of equal ones below which a pair of the similarity comes with probability < 1e-7.
+
+    A range's least hash is that of a random member of the union, drawn without replacement: the binomial tail is an upper bound.
+    """
+    p = percent / 100 + (1 - percent / 100) / 15
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, BINS + 1)))])
+    out = np.zeros(BINS + 1, np.int64)
+    for n in range(1, BINS + 1):
+        k = np.arange(n + 1)
+        tail = np.cumsum(np.exp(logs[n] - logs[k] - logs[n - k] + k * math.log(p) + (n - k) * math.log(1 - p)))
+        out[n] = np.searchsorted(tail, 1e-7, side="right")
+    return out
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows of x may be as similar to y, by their ranges."""
+    there = nibbles(x | y)
+    return there - nibbles(x ^ y) >= least_equal(percent)[there]
 
 
 def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -106,7 +142,7 @@ def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
                 ["doc_id", "n_shingles", "set_id", "bands", "minima"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, minima binary")
+    return arrow_map(docs, run, "doc_id long, n_shingles long, set_id binary, bands array<long>, minima binary")
 
 
 def bucket_keys(reps: DataFrame, plan: Plan) -> DataFrame:
@@ -157,34 +193,45 @@ def similar(x: np.ndarray, y: np.ndarray, plan: Plan) -> bool:
     return 100 * both >= plan.percent * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  b's set moves first, then a's: one a may have many b."""
+def compared(pairs: DataFrame, table: DataFrame, column: str, test) -> DataFrame:
+    """The pairs (a, b) that pass ``test(head's value, other's value)`` on a column of the table (id, ...).
+
+    Of a pair the end with more pairs is the head.  Heads are sent once for each GROUP of their pairs and stand before them.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    rows = pairs.join(ends.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(ends.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    first = F.col("na") >= F.col("nb")
+    rows = rows.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("head"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.greatest("na", "nb").alias("n"))
+    rows = rows.select("head", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)).alias("part"), "id")
+    value = table.select("id", F.col(column).alias("value"))
+    tails = rows.join(value, "id").select("head", "part", F.lit(1).alias("kind"), "id", "value")
+    heads = rows.select("head", "part").distinct().join(value.withColumnRenamed("id", "head"), "head").select("head", "part", F.lit(0).alias("kind"), F.col("head").alias("id"), "value")
+    both = heads.union(tails).repartition("head", "part").sortWithinPartitions("head", "part", "kind").select("head", "id", "kind", "value")
 
     def run(batches):
+        head, own = None, None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                keep.append(similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), plan))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            a, b = [], []
+            for h, i, kind, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if kind == 0:
+                    head, own = h, v.as_py()  # a copy: the batch goes
+                elif h == head and test(own, v.as_buffer()):
+                    a.append(min(h, i))
+                    b.append(max(h, i))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    rows = rows.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return arrow_map(both, run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    return compared(pairs, sets, "shingles", lambda x, y: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), plan))
 
 
 def likely(pairs: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) whose minima agree often enough."""
-
     least = plan.least_agree(plan.minima)
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, plan.minima) for c in (batch.column(2), batch.column(3)))
-            yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
-
-    rows = pairs.join(reps.select(F.col("id").alias("b"), F.col("minima").alias("y")), "b")
-    rows = rows.join(reps.select(F.col("id").alias("a"), F.col("minima").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return compared(pairs, reps, "minima", lambda x, y: np.count_nonzero(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) >= least)
 
 
 def in_blocks(members: DataFrame, plan: Plan, *columns: str) -> DataFrame:
@@ -201,40 +248,36 @@ def in_blocks(members: DataFrame, plan: Plan, *columns: str) -> DataFrame:
     return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
 
-def first_shared(bands: np.ndarray, r: int, hit: np.ndarray, t: int, plan: Plan) -> np.ndarray:
-    """Whether table t is the first that row r shares with each of the rows after it that are hit."""
-    agree = bands[r + 1 :][hit] == bands[r]
-    one = agree.argmax(axis=1)
-    if not plan.tensored:
-        return one == t
-    agree[np.arange(len(agree)), one] = False
-    return one * 64 + agree.argmax(axis=1) == t
+def first_shared(agree: np.ndarray, t: int, plan: Plan) -> np.ndarray:
+    """Of rows of agreements by collection: whether a table is shared, and collection t is the first that agrees."""
+    return (agree.argmax(axis=1) == t) & agree[:, t] & (agree.sum(axis=1) >= (2 if plan.tensored else 1))
 
 
 def across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Likely pairs of different components within a bucket: rows (key, t, id, component, minima, bands).
+    """Likely pairs of different components within a bucket of a collection: rows (key, t, id, component, ranges, bands).
 
-    A pair that shares several buckets comes out of one: that of the first collections on which it agrees.
-
-    A bucket is compared in blocks (see ``in_blocks``).
+    A pair that shares several buckets comes out of one: that of the first collection on which it agrees.  A bucket is compared in blocks (see ``in_blocks``).
     """
-    rows = in_blocks(members, plan, "component", "minima", "t", "bands")
-    most = plan.finer - plan.least_agree(plan.finer, 0.25)
+    rows = in_blocks(members, plan, "component", "ranges", "t", "bands")
 
     def compare(group: list) -> list[tuple[int, int]]:
-        ids, comps, sigs, own = (np.array([g[k] for g in group]) for k in (0, 1, 2, 3))
+        ids, comps, own = (np.array([g[k] for g in group]) for k in (0, 1, 3))
+        if comps.min() == comps.max():
+            return []
         out = []
         same_block = own.min() == own.max()
         sigs = np.stack([np.frombuffer(g[2], np.uint64) for g in group])
         bands, t = np.array([g[5] for g in group]), group[0][4]
         for r in range(len(group) - 1):
-            hit = (comps[r + 1 :] != comps[r]) & (unequal(sigs[r + 1 :], sigs[r]) <= most)
+            hit = comps[r + 1 :] != comps[r]
             if not same_block:
                 hit &= own[r + 1 :] != own[r]
-            if not hit.any():
-                continue
-            hit[np.flatnonzero(hit)] = first_shared(bands, r, hit, t, plan)
-            out += [(int(min(ids[r], x)), int(max(ids[r], x))) for x in ids[r + 1 :][hit]]
+            rest = np.flatnonzero(hit) + r + 1
+            if len(rest):
+                rest = rest[first_shared(bands[rest] == bands[r], t, plan)]
+            if len(rest):
+                rest = rest[alike(sigs[rest], sigs[r], plan.percent)]
+                out += [(int(min(ids[r], x)), int(max(ids[r], x))) for x in ids[rest]]
         return out
 
     def run(batches):
@@ -252,30 +295,28 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(rows, run, "a long, b long").distinct()
 
 
 def link_counts(members: DataFrame, plan: Plan) -> DataFrame:
-    """(id, n): how many copies the sets have that are similar enough to each set, of rows (key, t, id, minima, bands, shingles, copies).
+    """(id, n): how many copies the sets have that are similar enough to each set, of rows (key, t, id, ranges, bands, shingles, copies).
 
     Every pair of a bucket is compared, whatever is linked already: in one of the buckets it shares by its minima, and if these
     are alike enough on full sets.  Only sums leave a group.
     """
-    rows = in_blocks(members, replace(plan, block=min(plan.block, 256)), "minima", "t", "bands", "shingles", "copies")  # sets take room
-    most = plan.finer - plan.least_agree(plan.finer, 0.25)
+    rows = in_blocks(members, replace(plan, block=min(plan.block, 256)), "ranges", "t", "bands", "shingles", "copies")  # sets take room
 
     def compare(group: list) -> list[tuple[bytes, int]]:
         own, copies, bands = (np.array([g[k] for g in group]) for k in (1, 6, 4))
         sigs, sets = np.stack([np.frombuffer(g[2], np.uint64) for g in group]), [np.frombuffer(g[5], np.uint64) for g in group]
         same_block, n = own.min() == own.max(), np.zeros(len(group), np.int64)
         for r in range(len(group) - 1):
-            hit = unequal(sigs[r + 1 :], sigs[r]) <= most
-            if not same_block:
-                hit &= own[r + 1 :] != own[r]
-            if not hit.any():
-                continue
-            hit[np.flatnonzero(hit)] = first_shared(bands, r, hit, group[0][3], plan)
-            for x in (np.flatnonzero(hit) + r + 1).tolist():
+            rest = np.arange(r + 1, len(group)) if same_block else np.flatnonzero(own[r + 1 :] != own[r]) + r + 1
+            if len(rest):
+                rest = rest[first_shared(bands[rest] == bands[r], group[0][3], plan)]
+            if len(rest):
+                rest = rest[alike(sigs[rest], sigs[r], plan.percent)]
+            for x in rest.tolist():
                 if similar(sets[r], sets[x], plan):
                     n[r] += copies[x]
                     n[x] += copies[r]
@@ -295,7 +336,7 @@ def link_counts(members: DataFrame, plan: Plan) -> DataFrame:
                 group.append((i, own, m, t, bands, shingles, copies))
         yield out(group)
 
-    return rows.mapInArrow(run, "id binary, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return arrow_map(rows, run, "id binary, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def links(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -304,22 +345,21 @@ def links(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id") ->
     docs = df.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     classes = sketch(docs, plan).where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("bands").alias("bands"))
     classes = work.cut(classes)
-    keys = work.cut(bucket_keys(classes.select(F.col("set_id").alias("id"), "bands"), plan))
+    keys = work.cut(bucket_keys(classes.select(F.col("set_id").alias("id"), "bands"), replace(plan, tensored=False)))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = keys.join(sizes, "key")
     wanted = classes.join(keys.select(F.col("id").alias("set_id")).distinct(), "set_id", "left_semi")
 
     def run(batches):
-        perms = Permutations(plan.finer, plan.seed + 1)
         for b in batches:
             sets = list(shingle_sets(b.column(0), plan.size))
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([two_bits(perms.minima(s, 512)) for s in sets], pa.binary())], ["set_id", "shingles", "minima"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([ranges(s) for s in sets], pa.binary())], ["set_id", "shingles", "ranges"])
 
     # of an id that is repeated with other texts each set is taken
-    sets = docs.join(wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(run, "set_id binary, shingles binary, minima binary")
-    sets = work.cut(sets.groupBy("set_id").agg(F.first("shingles").alias("shingles"), F.first("minima").alias("minima")).join(wanted, "set_id"))
-    members = keys.join(sets.select(F.col("set_id").alias("id"), "minima", "bands", "shingles", "copies"), "id")
+    sets = arrow_map(docs.join(wanted.select("doc_id").distinct(), "doc_id").select("text"), run, "set_id binary, shingles binary, ranges binary")
+    sets = work.cut(sets.groupBy("set_id").agg(F.first("shingles").alias("shingles"), F.first("ranges").alias("ranges")).join(wanted, "set_id"))
+    members = keys.join(sets.select(F.col("set_id").alias("id"), "ranges", "bands", "shingles", "copies"), "id")
     n = work.cut(link_counts(members, plan))
     return classes.join(n.withColumnRenamed("id", "set_id"), "set_id", "left").select("set_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("links"))
 
@@ -361,11 +401,13 @@ def components(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id"
         comps = connected(edges, work)
 
     # What is still open is compared in full.
-    named = keys.join(comps, "id", "left").select("key", "t", "id", F.coalesce("component", "id").alias("component"))
+    named = keys.join(comps, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_ = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    left = work.cut(named.join(open_, "key"))
-    sets = set_table(docs, left, plan, work, plan.finer)
-    members = left.join(sets.select("id", "minima").join(sigs.select("id", "bands"), "id"), "id")
+    left = work.cut(named.join(open_, "key").select("id", "component").distinct())
+    sets = set_table(docs, left, plan, work)
+    single = work.cut(bucket_keys(sigs.select("id", "bands").join(left, "id", "left_semi"), replace(plan, tensored=False)).join(left, "id"))
+    open_ = single.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    members = single.join(open_, "key").join(sets.select("id", "ranges").join(sigs.select("id", "bands"), "id"), "id")
     more = work.cut(across(members, plan).join(tested, ["a", "b"], "left_anti"))
     edges2 = work.cut(confirmed(more, sets, plan))
     comps = connected(edges.union(edges2), work)
@@ -373,27 +415,25 @@ def components(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id"
     named = reps.select("set_id", "id").join(comps, "id", "left").select("set_id", F.coalesce("component", "id").alias("component_id"))
     out = sketched.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    work.drop(keys, more, left, sets)
+    work.drop(keys, more, left, single, sets)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "set_id", "component_id", "kept")
 
 
-def set_table(docs: DataFrame, wanted: DataFrame, plan: Plan, work: Workspace, minima: int = 0) -> DataFrame:
-    """(id, shingles, minima) of the wanted documents; of several texts under an id the set that sorts last.
+def set_table(docs: DataFrame, wanted: DataFrame, plan: Plan, work: Workspace) -> DataFrame:
+    """(id, shingles, ranges) of the wanted documents; of several texts under an id the set that sorts last.
 
     Up to MOST_SENT ids (counted first) go to the texts; beyond, both are joined by a shuffle.
     """
 
     def run(batches):
-        perms = Permutations(max(minima, 1), plan.seed + 1)
         for b in batches:
             sets = list(shingle_sets(b.column(1), plan.size))
-            fine = [two_bits(perms.minima(s, 512)) if minima else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(fine, pa.binary())], ["id", "shingles", "minima"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([ranges(s) for s in sets], pa.binary())], ["id", "shingles", "ranges"])
 
     ids = work.cut(wanted.select(F.col("id").alias("doc_id")).distinct())
     few = ids.count() <= MOST_SENT
-    sets = docs.join(F.broadcast(ids) if few else ids, "doc_id").mapInArrow(run, "id long, shingles binary, minima binary")
-    out = work.cut(sets.groupBy("id").agg(F.max(F.struct("shingles", "minima")).alias("x")).select("id", "x.shingles", "x.minima"))
+    sets = arrow_map(docs.join(F.broadcast(ids) if few else ids, "doc_id"), run, "id long, shingles binary, ranges binary")
+    out = work.cut(sets.groupBy("id").agg(F.max(F.struct("shingles", "ranges")).alias("x")).select("id", "x.shingles", "x.ranges"))
     work.drop(ids)
     return out
 
