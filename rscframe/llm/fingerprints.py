@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import linking
-from .textkit import Permutations, segments, shingle_hashes, string_buffers, table, word_hashes
+from .textkit import Permutations, arrow_map, segments, shingle_hashes, string_buffers, table, word_hashes
 
 PERMUTATIONS, SHINGLE, SEED = 64, 5, 11
 MOST_RANGES = 50_000
@@ -62,7 +62,7 @@ def fingerprints(df: DataFrame, text: str = "text", id: str = "doc_id", permutat
             yield pa.RecordBatch.from_arrays([b.column(0), hexed(signatures(b.column(1), perms))], ["doc_id", "fingerprint"])
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return arrow_map(df.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {kind}, fingerprint string")
 
 
 def near_pairs(df: DataFrame, text: str = "text", id: str = "doc_id", percent: int = 80) -> DataFrame:
@@ -125,7 +125,7 @@ def edited_report(df: DataFrame, permutations: int = PERMUTATIONS, seed: int = S
                 )
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return with_successor(df).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return arrow_map(with_successor(df), run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op3_fingerprints(spark, sf_dir: str) -> DataFrame:

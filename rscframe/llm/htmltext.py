@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textkit import table
+from .textkit import arrow_map, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
@@ -260,7 +260,7 @@ def extract(df: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id
 
     rows = df.select(*keep, F.col(html).cast("string").alias("_html"))
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "text string", "n_chars long"]))
+    return arrow_map(rows, run, ", ".join([*kinds, "text string", "n_chars long"]))
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:

@@ -14,11 +14,11 @@ Null texts and texts without a letter are ``und`` with score 0, and so is everyt
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType
 
-from .textkit import held_out, table
+from .textkit import arrow_map, frugal, held_out, release, table
 
 RANKS, LEARN_ROWS = 300, 8_000
 #: Score from which the pipeline keeps a document.
@@ -78,7 +78,7 @@ def learn_profiles(df: DataFrame, limit: int = LEARN_ROWS, ranks: int = RANKS) -
                     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
                     yield pa.RecordBatch.from_arrays([pa.array([l] * len(first)), pa.array(codes[first].view(np.int64)), pa.array(np.add.reduceat(counts, first))], ["lang", "gram", "n"])
 
-    counted = rows.join(F.broadcast(chosen), "doc_id").select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
+    counted = arrow_map(rows.join(F.broadcast(chosen), "doc_id").select("text", "lang"), run, "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     unsigned = F.expr("case when gram >= 0 then 0 else 1 end")
     w = Window.partitionBy("lang").orderBy(F.col("n").desc(), unsigned, "gram")
@@ -126,17 +126,21 @@ def identify(df: DataFrame, profiles: dict[str, list[int]], text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     kind = df.schema[id].dataType.simpleString()
-    return df.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return arrow_map(df.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {kind}, lang_pred string, score double")
 
 
 def identified(df: DataFrame, profiles: dict[str, list[int]], least: float = STAGE_SCORE) -> DataFrame:
     """The rows of df whose language is told with a score of ``least`` at least, all columns unchanged."""
 
-    @F.pandas_udf("boolean")
-    def keep(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    frugal(df.sparkSession)
+
+    @F.arrow_udf(BooleanType())
+    def keep(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         judge = Judge(profiles)
         for texts in parts:
-            yield pd.Series([name != "und" and score >= least for name, score in map(judge, texts)], dtype=bool)
+            got = (judge(t.as_py()) for t in texts)
+            yield pa.array([name != "und" and score >= least for name, score in got], pa.bool_())
+        release()
 
     return df.where(keep(F.col("text").cast("string")))
 

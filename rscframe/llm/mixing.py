@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .textkit import Workspace, table
+from .textkit import Workspace, table, unused
 
 LEVELS = ["domain", "lang", "source"]
 MOST_LEAVES = 10_000  # up to so many leaves (rows of ten small columns) the table of leaves is broadcast
@@ -86,9 +86,10 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return divided(own, ["domain", "lang"], "source", "b2", "budget").select(*LEVELS, "supply", "budget")
 
 
-def with_leaves(df: DataFrame, domain: str = DOMAIN) -> DataFrame:
-    """df with the columns _domain, _lang, _source, the names of its leaf."""
-    return df.withColumn("_domain", F.coalesce(F.expr(domain).cast("string"), F.lit(""))).withColumn("_lang", F.coalesce(F.col("lang").cast("string"), F.lit(""))).withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit("")))
+def with_leaves(df: DataFrame, domain: str = DOMAIN, names: list[str] = LEVELS) -> DataFrame:
+    """df with the names of its leaf in the columns ``names``, which df must not have."""
+    leaf = [F.expr(domain).cast("string"), F.col("lang").cast("string"), F.col("source").cast("string")]
+    return df.withColumns({n: F.coalesce(c, F.lit("")) for n, c in zip(names, leaf)})
 
 
 def digest(mix: Mix, epoch: Column, id: str = "doc_id") -> Column:
@@ -97,7 +98,8 @@ def digest(mix: Mix, epoch: Column, id: str = "doc_id") -> Column:
 
 def plan(df: DataFrame, mix: Mix, work: Workspace, domain: str = DOMAIN) -> tuple[DataFrame, DataFrame]:
     """(slim rows with doc_id, LEVELS, n_tokens; leaves with LEVELS, supply, budget, full, cut)."""
-    slim = with_leaves(df, domain).select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+    names = unused(df, *(f"_{x}" for x in LEVELS))
+    slim = with_leaves(df, domain, names).select("doc_id", *[F.col(n).alias(x) for n, x in zip(names, LEVELS)], F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
     slim = work.cut(slim)
     budgets = leaf_budgets(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("supply")), mix)
     budgets = work.cut(budgets.withColumn("full", F.expr("budget div supply")).withColumn("rest", F.expr("budget % supply")))
@@ -117,19 +119,20 @@ def bounded(leaves: DataFrame) -> DataFrame:
     return F.broadcast(leaves) if leaves.limit(MOST_LEAVES + 1).count() <= MOST_LEAVES else leaves
 
 
-def epochs(mix: Mix) -> Column:
-    """The epochs in which a row (with the columns of its leaf) is taken."""
-    whole = F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).otherwise(F.array().cast("array<bigint>"))
-    part = F.when(digest(mix, F.col("full")) <= F.col("cut"), F.array("full")).otherwise(F.array().cast("array<bigint>"))
+def epochs(mix: Mix, full: str = "full", cut: str = "cut") -> Column:
+    """The epochs in which a row (with these columns of its leaf) is taken."""
+    whole = F.when(F.col(full) > 0, F.sequence(F.lit(0).cast("long"), F.col(full) - 1)).otherwise(F.array().cast("array<bigint>"))
+    part = F.when(digest(mix, F.col(full)) <= F.col(cut), F.array(full)).otherwise(F.array().cast("array<bigint>"))
     return F.concat(whole, part)
 
 
 def mixed(df: DataFrame, mix: Mix = MIX, domain: str = DOMAIN) -> DataFrame:
-    """The rows of df, each as often as epochs take it, all columns unchanged."""
+    """The rows of df, each as often as epochs take it, all columns unchanged, whatever their names."""
     _, leaves = plan(df, mix, Workspace(df.sparkSession), domain)
-    names = [F.col(x).alias(f"_{x}") for x in LEVELS]
-    rows = with_leaves(df, domain).join(bounded(leaves.select(*names, "full", "cut")), [f"_{x}" for x in LEVELS])
-    return rows.withColumn("_epoch", F.explode(epochs(mix))).select(df.columns)
+    *names, full, cut, epoch = unused(df, *(f"_{x}" for x in LEVELS), "_full", "_cut", "_epoch")
+    leaves = leaves.select(*[F.col(x).alias(n) for x, n in zip(LEVELS, names)], F.col("full").alias(full), F.col("cut").alias(cut))
+    rows = with_leaves(df, domain, names).join(bounded(leaves), names)
+    return rows.withColumn(epoch, F.explode(epochs(mix, full, cut))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ becomes of null and repeated ids.  Other columns are ignored, whatever their nam
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from . import linking
 from .textkit import table
@@ -27,7 +27,7 @@ def near_duplicates(df: DataFrame, plan: linking.Plan = PLAN, text: str = "text"
 def without_near_duplicates(df: DataFrame, plan: linking.Plan = STAGE_PLAN) -> DataFrame:
     """The rows of df but those of documents whose component has another, kept document."""
     gone = near_duplicates(df, plan).where("not kept").select("doc_id").distinct()
-    return df.join(gone, "doc_id", "left_anti").select(df.columns)
+    return df.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

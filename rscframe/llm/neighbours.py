@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .textkit import table
+from .textkit import arrow_map, table
 
 FIT_ROWS, MOST_LISTS, CHUNK, BLOCK, EPSILON, RECALL, K = 20_000, 4096, 2048, 16, 2.1, 0.985, 10
 
@@ -94,7 +94,7 @@ def assigned(rows: DataFrame, index: Index, probes: int, sizes: dict[int, int] |
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(near[np.arange(near.shape[1]) < n[:, None]]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["vec_id", "v", "lists"])
 
-    return rows.where(F.size("v") == d).mapInArrow(run, "vec_id long, v array<float>, lists array<int>")
+    return arrow_map(rows.where(F.size("v") == d), run, "vec_id long, v array<float>, lists array<int>")
 
 
 def scan(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int):
@@ -183,7 +183,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = K, id: str = "vec_id", ve
             yield out
 
     both = owned.select("vec_id", "v", "list", "chunk", "asks").union(asked.select("vec_id", "v", "list", "chunk", "asks"))
-    found = both.repartition("list", "chunk").sortWithinPartitions("list", "chunk", "asks").mapInArrow(run, schema)
+    found = arrow_map(both.repartition("list", "chunk").sortWithinPartitions("list", "chunk", "asks"), run, schema)
     w = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

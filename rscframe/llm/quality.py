@@ -17,11 +17,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .textkit import _WHITE, held_out, labelled, segments, sigmoid, string_buffers, table, word_hashes
+from .textkit import _WHITE, arrow_map, frugal, held_out, labelled, segments, sigmoid, string_buffers, table, unused, word_hashes
 
 STATS = ["chars", "words", "word_len", "upper", "digit", "punct", "symbol", "other", "newline", "distinct", "repeat", "common", "bang", "bar", "tail", "line_len"]
 LEARN_ROWS, TREES, DEPTH, RATE, PENALTY = 20_000, 30, 3, 0.3, 1e-3
@@ -72,7 +72,7 @@ def statistics(df: DataFrame, text: str = "text", id: str = "doc_id", keep: tupl
 
     rows = df.select(F.col(id).alias("doc_id"), *keep, F.col(text).cast("string").alias("_text"))
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{s} double" for s in STATS)]))
+    return arrow_map(rows, run, ", ".join([*kinds, *(f"{s} double" for s in STATS)]))
 
 
 @dataclass(frozen=True)
@@ -211,15 +211,16 @@ def score(df: DataFrame, rules: Rules, text: str = "text", id: str = "doc_id") -
     return statistics(df, text, id).select("doc_id", rules.column().alias("score"))
 
 
-def accepted(df: DataFrame, rules: Rules, least: float = LEAST) -> DataFrame:
-    """The rows of df with a score of ``least`` at least, all columns unchanged."""
-    kind = ", ".join(f"{s} double" for s in STATS)
+@F.arrow_udf(StructType([StructField(s, DoubleType()) for s in STATS]))
+def statistics_struct(texts: pa.Array) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(c) for c in statistics_of(texts).T], STATS)
 
-    @F.pandas_udf(kind)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(statistics_of(pa.array(texts, pa.large_string())), columns=STATS)
 
-    return df.withColumn("_stats", of(F.col("text").cast("string"))).where(rules.column("_stats.") >= least).select(df.columns)
+def accepted(df: DataFrame, rules: Rules, least: float = LEAST) -> DataFrame:
+    """The rows of df with a score of ``least`` at least, all columns unchanged, whatever their names."""
+    frugal(df.sparkSession)
+    (name,) = unused(df, "_stats")
+    return df.withColumn(name, statistics_struct(F.col("text").cast("string"))).where(rules.column(f"{name}.") >= least).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:

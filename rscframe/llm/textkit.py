@@ -218,26 +218,6 @@ class Workspace:
                 where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-class Cache:
-    """A bounded map of two generations: what was used in the last ``limit`` insertions stays."""
-
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def get(self, key):
-        value = self.young.get(key)
-        if value is None:
-            value = self.old.get(key)
-            if value is not None:
-                self.put(key, value)
-        return value
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
-
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """(doc_id, text, y) of at most ``limit`` labelled rows that may be learned from.
 

@@ -105,6 +105,29 @@ def test_bpe_equals_the_library(spark, text):
     assert r[1].ids == tok.encode(text + " " + text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_equals_the_library_for_any_vocabulary_and_cut(name, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    pieces = ["the ", "river", "  ", "\n\n", "don't", " 12,5", "é́", "日本語", "\u00a0", "\x1c", "x" * 40, "\t", ". ", "🙂", " a", "Straße ", "\u3000"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 200))) for _ in range(150)]
+    texts += texts[:20] + [t + u for t, u in zip(texts[:10], texts[20:30])] + [None, "", " ", "y" * 5000]
+    path = bpe.vocabulary_path(name)
+    for bits in (3, 6, 8):
+        monkeypatch.setattr(bpe, "_MASK", np.uint64((1 << bits) - 1))
+        c = bpe.Codec(path)
+        assert c.cuts and c.words == name.startswith("word")
+        c.chunks.limit, c.pieces.limit = 2000, 50
+        got = [x for at in range(0, len(texts), 40) for part in bpe.chunked(pa.array(texts[at : at + 40], pa.string())) for x in c.encode(part)]
+        for t, (n, ids, decoded) in zip(texts, got, strict=True):
+            want = c.tok.encode(t or "", add_special_tokens=False).ids
+            assert n == len(want) and ids == " ".join(map(str, want)) and decoded == c.tok.decode(want, skip_special_tokens=False)
+        assert c.reused > 0
+    c.cuts = False
+    assert c.encode([[b"ab", b"c d"]]) == c.whole(["abc d"])
+
+
 def test_language_of_profiles(spark):
     df = docs_of(spark, ["the cat and the dog"] * 20, "en").union(docs_of(spark, ["der hund und die katze"] * 20, "de"))
     profiles = language.learn_profiles(df)
@@ -146,9 +169,67 @@ def test_toxicity_learns_and_finds_insults_over_several_words(spark):
     texts = ["the blor ptch here", "blo rpt ch", "red old boot river", "river stone", "garden boot", "old river"]
     got = toxicity.decided(docs_of(spark, texts), m).orderBy("doc_id").collect()
     assert [r.score >= 0.3 for r in got] == [True, True, True, False, False, False], [r.score for r in got]
-    texts += [None, "", "a b", "ab cd. É ef-g hi j", *clean[:5]]
-    want = [max([*m.words(sorted(u for u in toxicity.units(t) if " " in u)), toxicity.FLOOR]) for t in texts]
-    assert np.allclose(m.spans(texts), want)
+
+
+def units_of(text):
+    """The units of a text and their sentences, by plain steps."""
+    words, sentences, number = [], [], 0
+    for line in (text or "").lower().split("\n"):
+        for raw in line.split():
+            w = "".join(c for c in raw if c.isalpha())
+            if w:
+                if sentences and sentences[-1] == number and len(words[-1][0]) == 1 and len(w) == 1 and words[-1][1]:
+                    words[-1] = (words[-1][0], True, words[-1][2] + w)
+                else:
+                    words.append((w, len(w) == 1, w))
+                    sentences.append(number)
+            if raw[-1] in ".!?" and (not words or len(words[-1][0]) > 1):
+                number += 1
+        if not words or len(words[-1][0]) > 1:
+            number += 1
+    ws, out = [w[2] for w in words], set()
+    for a in range(len(ws)):
+        if len(ws[a]) > toxicity.LONGEST:
+            out |= {ws[a][i : i + toxicity.WIDTH] for i in range(0, len(ws[a]) - toxicity.WIDTH, toxicity.STEP)} | {ws[a][-toxicity.WIDTH :]}
+        elif len(ws[a]) > 2:
+            out.add(ws[a])
+        for b in range(a + 1, len(ws)):
+            if sentences[b] != sentences[a] or sum(map(len, ws[a : b + 1])) > toxicity.LONGEST:
+                break
+            out.add(" ".join(ws[a : b + 1]))
+    return out
+
+
+def test_toxicity_units_and_decisions_are_those_of_plain_steps(spark):
+    rng = np.random.default_rng(3)
+    m = toxicity.Machine(rng.standard_normal(toxicity.LETTERS**3), 0.1)
+    texts = [None, "", "a b", "ab cd. É ef-g hi j", "One two. three! i d i o t? yes\nno more", "a. b. c. dd e.", "verylongwordwithmanyletters and so on", "12 ab 34 cd", "x\ny\nz ab", "the quick brown fox " * 3]
+    _, _, s = next(toxicity.streams(texts))
+    a, lo, hi = (np.concatenate(x) for x in zip(*s.units()))
+    units, hashes, owner = s.texts_of(lo, hi), s.hashes(lo, hi).tolist(), s.text[a].tolist()
+    for i, t in enumerate(texts):
+        mine = {u for o, u in zip(owner, units) if o == i}
+        assert mine == units_of(t), (t, mine ^ units_of(t))
+    same = {}
+    assert all(same.setdefault(h, u) == u for h, u in zip(hashes, units)) and len(set(hashes)) == len(set(units))
+    around = dict(zip(zip(owner, units), s.contexts(a, hi).tolist()))
+    assert around[9, "the quick"] != around[9, "quick"] and around[9, "quick"] != around[9, "fox"]
+    known = sorted(set(units))
+    value = dict.fromkeys(known, toxicity.FLOOR)
+    for rows, codes, w in toxicity.features(known):
+        for r, c in zip(rows, codes):
+            value[known[r]] = float(m.weights[c] @ w + m.bias)
+    want = [max([value[u] for u in units_of(t)], default=toxicity.FLOOR) for t in texts]
+    assert np.allclose(m.decisions(texts), np.maximum(want, toxicity.FLOOR), atol=1e-4)
+
+
+def test_toxicity_of_nothing_and_repeated_rows(spark):
+    labels = labels_of(spark, [1, 0, 1], "toxic")
+    m = toxicity.learn(docs_of(spark, ["a b", "c d", "e f"]).where("false"), labels)
+    assert [r.score for r in toxicity.decided(docs_of(spark, [None, "x", "x"]), m).collect()] == [0.0] * 3
+    df = docs_of(spark, ["same text here"] * 3)
+    rows = toxicity.labelled(df.union(df).union(docs_of(spark, ["zz"])), labels, "toxic", 1)
+    assert rows.count() == 1
 
 
 def test_main_text():
