@@ -17,7 +17,7 @@
    of each, not one for each table), and in each such bucket, in blocks of bounded size, pairs from
    different components that share a table are compared, in the first collection on which they agree, by a sketch of the whole set: the set is cut into BINS ranges of the hash,
    and four bits of each range's least value are kept.  This costs nothing beside the set; for small sets it is the set itself.  Pairs that
-   agree too rarely for the wanted similarity (probability below 1e-7) are left out, the rest are compared on full sets, so that no link between components is lost.
+   agree too rarely for the wanted similarity (by six deviations) are left out, the rest are compared on full sets, so that no link between components is lost.
    In a bucket whose members are joined already there is nothing left to find, however many copies it holds.
 6. Full sets and minima are compared by hubs: of a pair the end with more pairs is the head; a head is sent once for each GROUP of its pairs, and each
    other end once a pair, so that no row holds two sets, and a head with a million pairs is many groups.
@@ -32,7 +32,6 @@ from __future__ import annotations
 import hashlib
 import math
 from dataclasses import dataclass, replace
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,26 +99,19 @@ def nibbles(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x | x >> np.uint64(2)) & _ONES).sum(axis=-1, dtype=np.int64)
 
 
-@lru_cache(maxsize=8)
-def least_equal(percent: int) -> np.ndarray:
-    """For n ranges that are not empty in both: the number of equal ones below which a pair of the similarity comes with probability < 1e-7.
+def alike(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: int, percent: int) -> np.ndarray:
+    """Which rows of x may be as similar to y, by their ranges and the sizes of the sets.
 
-    A range's least hash is that of a random member of the union, drawn without replacement: the binomial tail is an upper bound.
+    The least hashes of the E ranges that are not empty in both are those of E random members of the union, drawn without replacement.  A pair that is just
+    similar enough has a union of known size, so that the number of equal ranges has a known mean and variance; pairs six deviations and one below are left out.
     """
-    p = percent / 100 + (1 - percent / 100) / 15
-    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, BINS + 1)))])
-    out = np.zeros(BINS + 1, np.int64)
-    for n in range(1, BINS + 1):
-        k = np.arange(n + 1)
-        tail = np.cumsum(np.exp(logs[n] - logs[k] - logs[n - k] + k * math.log(p) + (n - k) * math.log(1 - p)))
-        out[n] = np.searchsorted(tail, 1e-7, side="right")
-    return out
-
-
-def alike(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows of x may be as similar to y, by their ranges."""
     there = nibbles(x | y)
-    return there - nibbles(x ^ y) >= least_equal(percent)[there]
+    equal = there - nibbles(x ^ y)
+    common = np.ceil(percent * (nx + ny) / (100 + percent))
+    union = np.maximum(nx + ny - common, 1)
+    share = np.minimum(common / union, 1)
+    spread = np.sqrt(there * share * (1 - share) * np.maximum(union - there, 0) / np.maximum(union - 1, 1))
+    return equal >= there * share - 6 * spread - 1
 
 
 def sketch(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -254,11 +246,11 @@ def first_shared(agree: np.ndarray, t: int, plan: Plan) -> np.ndarray:
 
 
 def across(members: DataFrame, plan: Plan) -> DataFrame:
-    """Likely pairs of different components within a bucket of a collection: rows (key, t, id, component, ranges, bands).
+    """Likely pairs of different components within a bucket of a collection: rows (key, t, id, component, ranges, bands, size).
 
     A pair that shares several buckets comes out of one: that of the first collection on which it agrees.  A bucket is compared in blocks (see ``in_blocks``).
     """
-    rows = in_blocks(members, plan, "component", "ranges", "t", "bands")
+    rows = in_blocks(members, plan, "component", "ranges", "t", "bands", "size")
 
     def compare(group: list) -> list[tuple[int, int]]:
         ids, comps, own = (np.array([g[k] for g in group]) for k in (0, 1, 3))
@@ -267,7 +259,7 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
         out = []
         same_block = own.min() == own.max()
         sigs = np.stack([np.frombuffer(g[2], np.uint64) for g in group])
-        bands, t = np.array([g[5] for g in group]), group[0][4]
+        bands, t, sizes = np.array([g[5] for g in group]), group[0][4], np.array([g[6] for g in group], np.int64)
         for r in range(len(group) - 1):
             hit = comps[r + 1 :] != comps[r]
             if not same_block:
@@ -276,18 +268,18 @@ def across(members: DataFrame, plan: Plan) -> DataFrame:
             if len(rest):
                 rest = rest[first_shared(bands[rest] == bands[r], t, plan)]
             if len(rest):
-                rest = rest[alike(sigs[rest], sigs[r], plan.percent)]
+                rest = rest[alike(sigs[rest], sigs[r], sizes[rest], sizes[r], plan.percent)]
                 out += [(int(min(ids[r], x)), int(max(ids[r], x))) for x in ids[rest]]
         return out
 
     def run(batches):
         key, group, found = None, [], set()
         for batch in batches:
-            for k, p, q, own, i, c, m, t, bands in zip(*(col.to_pylist() for col in batch.columns)):
+            for k, p, q, own, i, c, m, t, bands, size in zip(*(col.to_pylist() for col in batch.columns)):
                 if (k, p, q) != key:
                     found.update(compare(group) if len(group) > 1 else ())
                     key, group = (k, p, q), []
-                group.append((i, c, m, own, t, bands))
+                group.append((i, c, m, own, t, bands, size))
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found)], ["a", "b"])
                 found = set()
@@ -309,13 +301,13 @@ def link_counts(members: DataFrame, plan: Plan) -> DataFrame:
     def compare(group: list) -> list[tuple[bytes, int]]:
         own, copies, bands = (np.array([g[k] for g in group]) for k in (1, 6, 4))
         sigs, sets = np.stack([np.frombuffer(g[2], np.uint64) for g in group]), [np.frombuffer(g[5], np.uint64) for g in group]
-        same_block, n = own.min() == own.max(), np.zeros(len(group), np.int64)
+        same_block, n, sizes = own.min() == own.max(), np.zeros(len(group), np.int64), np.array([len(x) for x in sets])
         for r in range(len(group) - 1):
             rest = np.arange(r + 1, len(group)) if same_block else np.flatnonzero(own[r + 1 :] != own[r]) + r + 1
             if len(rest):
                 rest = rest[first_shared(bands[rest] == bands[r], group[0][3], plan)]
             if len(rest):
-                rest = rest[alike(sigs[rest], sigs[r], plan.percent)]
+                rest = rest[alike(sigs[rest], sigs[r], sizes[rest], sizes[r], plan.percent)]
             for x in rest.tolist():
                 if similar(sets[r], sets[x], plan):
                     n[r] += copies[x]
@@ -407,7 +399,7 @@ def components(df: DataFrame, plan: Plan, text: str = "text", id: str = "doc_id"
     sets = set_table(docs, left, plan, work)
     single = work.cut(bucket_keys(sigs.select("id", "bands").join(left, "id", "left_semi"), replace(plan, tensored=False)).join(left, "id"))
     open_ = single.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    members = single.join(open_, "key").join(sets.select("id", "ranges").join(sigs.select("id", "bands"), "id"), "id")
+    members = single.join(open_, "key").join(sets.select("id", "ranges", F.floor(F.length("shingles") / 8).alias("size")).join(sigs.select("id", "bands"), "id"), "id")
     more = work.cut(across(members, plan).join(tested, ["a", "b"], "left_anti"))
     edges2 = work.cut(confirmed(more, sets, plan))
     comps = connected(edges.union(edges2), work)

@@ -32,8 +32,8 @@ def test_ranges_keep_pairs_of_the_wanted_similarity_and_refute_others():
                 both += (union - both) % 2
                 pairs = [drawn(rng, both, (union - both) // 2) for _ in range(200)]
                 x, y = (np.stack([np.frombuffer(linking.ranges(p[k]), np.uint64) for p in pairs]) for k in (0, 1))
-                kept[alike] = np.mean([linking.alike(x[i : i + 1], y[i], percent)[0] for i in range(200)])
-            assert kept[percent] == 1 and (union < 400 or kept[percent - 15] < 0.5), kept
+                kept[alike] = np.mean([linking.alike(x[i : i + 1], y[i], np.array([len(pairs[i][0])]), len(pairs[i][1]), percent)[0] for i in range(200)])
+            assert kept[percent] == 1 and kept[percent - 15] < 0.1, kept
 
 
 def test_pairs_are_compared_whatever_end_has_more_of_them(spark):
