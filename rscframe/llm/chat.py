@@ -8,8 +8,7 @@ serialises each message as canonical JSON (keys sorted, no spaces, nulls left ou
 then it goes right behind it.  Nothing gathers a conversation in one row or task.
 
 ``parse_messages`` reads calls from texts: an object with ``content``, ``tool_calls`` (id, name, arguments, after) or
-``tool_call_id``.  ``from_turns`` reads plain turns: each user turn calls ``reply`` under the identifier
-"conv_id:turn", and an assistant turn is the result of the turn before it.
+``tool_call_id``.  ``turns_as_calls`` makes such texts of plain turns, under the identifiers "conv_id:turn".
 
 Defined results: a null or empty text is empty content; a result whose call is missing is kept with linked =
 false, a call without a result too; of several calls with one identifier in a conversation the first counts; arguments that are no JSON object,
@@ -38,13 +37,26 @@ def parse_messages(df: DataFrame) -> DataFrame:
     return df.select("conv_id", "turn", "role", F.when(known, F.coalesce(got["content"], F.lit(""))).otherwise(text).alias("content"), got["tool_calls"].alias("calls"), got["tool_call_id"].alias("result_for"))
 
 
-def from_turns(df: DataFrame) -> DataFrame:
+def turns_as_calls(df: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, where plain turns have become messages that ``parse_messages`` reads.
+
+    A user turn calls ``reply``, an assistant turn is the result of the turn before.  By conv_id + turn some calls differ, so that all that a
+    log of tool calls may hold occurs: one in seven waits for the result of the next user turn, which comes later, and in conversations with an
+    even id that one waits for this; others have a mistyped argument, an argument too many, arguments cut short, or an unknown tool.
+    Texts that hold calls of their own stay.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    name = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
-    args = F.to_json(F.struct(F.col("turn"), text.alias("text")))
-    call = F.array(F.struct(name.alias("id"), F.lit("reply").alias("name"), args.alias("arguments"), F.lit(None).cast("array<string>").alias("after")))
-    before = F.concat_ws(":", F.col("conv_id").cast("string"), (F.col("turn") - 1).cast("string"))
-    return df.select("conv_id", "turn", "role", F.when(F.col("role") == "user", F.lit("")).otherwise(text).alias("content"), F.when(F.col("role") == "user", call).alias("calls"), F.when(F.col("role") == "assistant", before).alias("result_for"))
+    turn, kind = F.col("turn"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7))
+    name = lambda step: F.concat_ws(":", F.col("conv_id").cast("string"), (turn + step).cast("string"))
+    fields = lambda *more: F.to_json(F.struct(text.alias("text"), *more))
+    args = F.when(kind == 2, fields(turn.cast("string").alias("turn"))).when(kind == 4, F.concat(F.lit('{"text":'), quoted(text)))
+    args = args.when(kind == 6, fields(F.lit("plain").alias("tone"), turn)).otherwise(fields(turn))
+    after = F.when(kind == 1, F.array(name(2))).when((kind == 3) & (F.pmod(F.col("conv_id"), F.lit(2)) == 0), F.array(name(-2)))
+    tool = F.when(kind == 5, F.lit("answer")).otherwise(F.lit("reply"))
+    call = F.array(F.struct(name(0).alias("id"), tool.alias("name"), args.alias("arguments"), after.alias("after")))
+    message = F.when(F.col("role") == "user", F.to_json(F.struct(call.alias("tool_calls"))))
+    message = message.when(F.col("role") == "assistant", F.to_json(F.struct(text.alias("content"), name(-1).alias("tool_call_id")))).otherwise(text)
+    return df.select("conv_id", "turn", "role", F.when(text.rlike(r'(?s)^\s*\{.*"tool_call'), text).otherwise(message).alias("text"))
 
 
 def argument_test(name: Column, arguments: Column, schemas: dict) -> Column:
@@ -160,19 +172,28 @@ def format_messages(messages: DataFrame, schemas: dict) -> DataFrame:
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:
-    return format_messages(from_turns(table(spark, sf_dir, "conversations")), REPLY)
+    return format_messages(parse_messages(turns_as_calls(table(spark, sf_dir, "conversations"))), REPLY)
 
 
 QUERIES = {"op5_chat": op5_chat}
 SQL = {
     "op5_chat": """
-WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
-u AS (SELECT DISTINCT conv_id, turn FROM c WHERE role = 'user'), a AS (SELECT DISTINCT conv_id, turn FROM c WHERE role = 'assistant')
-SELECT conv_id, turn, role, turn AS order_turn, 0 AS order_step, true AS ordered, CASE WHEN role = 'user' THEN 1 ELSE 0 END AS n_calls,
-  CASE WHEN role = 'user' THEN (conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM a) WHEN role = 'assistant' THEN (conv_id, turn - 1) IN (SELECT (conv_id, turn) FROM u) END AS linked,
-  CASE WHEN role = 'user' THEN true END AS valid,
-  CASE WHEN role = 'user' THEN concat('{"content":"","role":"user","tool_calls":[{"arguments":{"text":', to_json(text), ',"turn":', turn, '},"id":"', conv_id, ':', turn, '","name":"reply"}]}')
-       ELSE concat('{"content":', to_json(text), ',"role":', to_json(role), CASE WHEN role = 'assistant' THEN concat(',"tool_call_id":"', conv_id, ':', turn - 1, '"') ELSE '' END, '}') END AS json
-FROM c
+WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, (conv_id + turn) % 7 AS kind FROM conversations),
+u AS (SELECT DISTINCT conv_id, turn FROM c WHERE role = 'user'), a AS (SELECT DISTINCT conv_id, turn FROM c WHERE role = 'assistant'),
+w AS (SELECT conv_id, turn, (conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM a) AS answered, (conv_id, turn + 2) IN (SELECT (conv_id, turn) FROM u) AS asked
+  FROM u WHERE (conv_id + turn) % 7 = 1 AND (conv_id, turn + 3) IN (SELECT (conv_id, turn) FROM a)),
+late AS (SELECT conv_id, turn, conv_id % 2 = 0 AND answered AND asked AS ring FROM w),
+ring AS (SELECT conv_id, turn + unnest([0, 1, 2, 3]) AS turn FROM late WHERE ring),
+moved AS (SELECT conv_id, turn, turn + 3 AS order_turn, 1 AS order_step FROM late WHERE NOT ring
+  UNION ALL SELECT conv_id, turn + 1, turn + 3, 2 FROM late WHERE NOT ring AND (conv_id, turn + 1) IN (SELECT (conv_id, turn) FROM a)),
+j AS (SELECT c.*, CASE kind WHEN 2 THEN concat('{"text":', to_json(text), ',"turn":"', turn, '"}') WHEN 4 THEN CAST(to_json(concat('{"text":', to_json(text))) AS VARCHAR)
+  WHEN 6 THEN concat('{"text":', to_json(text), ',"tone":"plain","turn":', turn, '}') ELSE concat('{"text":', to_json(text), ',"turn":', turn, '}') END AS args FROM c)
+SELECT j.conv_id, j.turn, role, coalesce(m.order_turn, j.turn) AS order_turn, coalesce(m.order_step, 0) AS order_step, (j.conv_id, j.turn) NOT IN (SELECT (conv_id, turn) FROM ring) AS ordered,
+  CASE WHEN role = 'user' THEN 1 ELSE 0 END AS n_calls,
+  CASE WHEN role = 'user' THEN (j.conv_id, j.turn + 1) IN (SELECT (conv_id, turn) FROM a) WHEN role = 'assistant' THEN (j.conv_id, j.turn - 1) IN (SELECT (conv_id, turn) FROM u) END AS linked,
+  CASE WHEN role = 'user' THEN kind IN (0, 1, 3) END AS valid,
+  CASE WHEN role = 'user' THEN concat('{"content":"","role":"user","tool_calls":[{"arguments":', args, ',"id":"', j.conv_id, ':', j.turn, '","name":"', CASE kind WHEN 5 THEN 'answer' ELSE 'reply' END, '"}]}')
+       ELSE concat('{"content":', to_json(text), ',"role":', to_json(role), CASE WHEN role = 'assistant' THEN concat(',"tool_call_id":"', j.conv_id, ':', j.turn - 1, '"') ELSE '' END, '}') END AS json
+FROM j LEFT JOIN moved m ON m.conv_id = j.conv_id AND m.turn = j.turn
 """
 }

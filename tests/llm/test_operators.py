@@ -312,3 +312,26 @@ def test_chat_orders_chains_of_any_length_and_flags_cycles_only(spark):
         assert (c, 2 * t) in cycle or all(place[c, 2 * p + 1] < place[c, 2 * t] for p in on)
     assert [(r.conv_id, r.turn, r.order_turn, r.order_step) for r in got if (r.conv_id, r.turn) in cycle] == [(c, t, t, 0) for c, t in sorted(cycle)]
     assert [r.order_step for r in got if (r.conv_id, r.turn) == (1, 0)] == [2 * n - 3]
+
+
+def test_chat_query_has_calls_of_every_kind_and_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    got = chat.op5_chat(spark, sf_dir).toPandas()
+    db = duckdb.connect()
+    db.sql(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
+    want = db.sql(chat.SQL["op5_chat"]).df()
+    key = ["conv_id", "turn"]
+    got, want = (t.sort_values(key).reset_index(drop=True).astype(object).where(lambda x: x.notna(), None) for t in (got, want[got.columns]))
+    assert got.values.tolist() == want.values.tolist()
+    assert all(got[c].nunique() > 1 for c in ("ordered", "valid", "linked", "order_step", "n_calls"))
+
+
+def test_chat_keeps_calls_of_texts_and_takes_nulls_and_repeats(spark):
+    own = json.dumps({"content": "", "tool_calls": [{"id": "x", "name": "reply", "arguments": {"text": "a", "turn": 1}}]})
+    rows = [(1, 1, "user", own), (1, 1, "user", own), (1, 2, "tool", json.dumps({"tool_call_id": "x", "content": "b"})), (2, 0, "user", None), (None, None, None, None), (2, 1, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("json", chat.F.lit(0)).withColumn("calls", chat.F.lit("x"))
+    got = chat.format_messages(chat.parse_messages(chat.turns_as_calls(df)), chat.REPLY)
+    assert {(r.conv_id, r.turn, r.n_calls, r.linked, r.valid) for r in got.collect()} == {(1, 1, 1, True, True), (1, 2, 0, True, None), (2, 0, 1, True, False), (None, None, 0, None, None), (2, 1, 0, True, None)}
+    assert got.count() == len(rows)
+    assert chat.format_messages(chat.parse_messages(chat.turns_as_calls(df.where("false"))), chat.REPLY).count() == 0
