@@ -35,7 +35,9 @@ class Index:
 
 
 def valid(df: DataFrame, id: str, vector: str) -> DataFrame:
-    v = F.col(vector).cast("array<float>")
+    v = F.col(vector)
+    if df.schema[vector].dataType.simpleString() != "array<float>":
+        v = v.cast("array<double>")  # nothing is lost of doubles and whole numbers
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = df.select(F.col(id).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     return rows.where(F.coalesce(fine, F.lit(False)) & F.exists("v", lambda x: x != 0))
@@ -94,7 +96,7 @@ def assigned(rows: DataFrame, index: Index, probes: int, sizes: dict[int, int] |
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(near[np.arange(near.shape[1]) < n[:, None]]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["vec_id", "v", "lists"])
 
-    return arrow_map(rows.where(F.size("v") == d), run, "vec_id long, v array<float>, lists array<int>")
+    return arrow_map(rows.where(F.size("v") == d), run, f"vec_id long, v {rows.schema['v'].dataType.simpleString()}, lists array<int>")
 
 
 def scan(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, x: np.ndarray, rotation: np.ndarray, k: int):

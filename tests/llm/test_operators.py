@@ -23,8 +23,8 @@ def shingles(text, n=3):
     return {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({" ".join(w)} if w else set())
 
 
-def brute_components(texts):
-    sets = [shingles(t) for t in texts]
+def brute_components(texts, n=3, percent=85):
+    sets = [shingles(t, n) for t in texts]
     up = list(range(len(texts)))
 
     def root(i):
@@ -33,7 +33,7 @@ def brute_components(texts):
         return i
 
     for a, b in itertools.combinations(range(len(texts)), 2):
-        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             x, y = sorted((root(a), root(b)))
             up[y] = x
     return [root(i) for i in range(len(texts))]
@@ -335,3 +335,92 @@ def test_chat_keeps_calls_of_texts_and_takes_nulls_and_repeats(spark):
     assert {(r.conv_id, r.turn, r.n_calls, r.linked, r.valid) for r in got.collect()} == {(1, 1, 1, True, True), (1, 2, 0, True, None), (2, 0, 1, True, False), (None, None, 0, None, None), (2, 1, 0, True, None)}
     assert got.count() == len(rows)
     assert chat.format_messages(chat.parse_messages(chat.turns_as_calls(df.where("false"))), chat.REPLY).count() == 0
+
+
+def test_fingerprints_are_as_alike_as_the_sets(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(8, 200))) for _ in range(30)]
+    texts += [t + " " + u for t, u in zip(texts[:20], texts[20:40])]
+    rows = {r.doc_id: r for r in fingerprints.edited_report(docs_of(spark, texts)).collect()}
+
+    def padded(t):
+        w = ["\0"] * 4 + t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    off = []
+    for i, t in enumerate(texts):
+        nxt, n = texts[i - 1 if i else len(texts) - 1], len(t) // 3
+        for got, other in ((rows[i].near_edited, t[: len(t) - n] + nxt[:n]), (rows[i].near_next, nxt)):
+            x, y = padded(t), padded(other)
+            true = len(x & y) / len(x | y)
+            off.append(got - true)
+            assert abs(off[-1]) <= 5 * (true * (1 - true) / fingerprints.PERMUTATIONS) ** 0.5 + 0.01
+    assert abs(sum(off) / len(off)) < 0.02
+
+
+def test_language_is_that_of_plain_out_of_place_distances(spark):
+    import re
+    from collections import Counter
+
+    def ranked(text):
+        n = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for size in (1, 2, 3):
+                s = w if size == 1 else f" {w} "
+                n.update(s[i : i + size] for i in range(len(s) - size + 1))
+        number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g)) | {1: 0, 2: 1 << 42, 3: 1 << 63}[len(g)]
+        return [x - (1 << 64) if x >> 63 else x for x in sorted((number(g) for g in n), key={number(g): (-c, number(g)) for g, c in n.items()}.get)][: language.RANKS]
+
+    rng = random.Random(9)
+    words = {"aa": ["the", "cat", "sings", "over", "hills"], "bb": ["der", "hund", "über", "berge", "singt"], "cc": ["le", "chat", "chante", "sûr", "monts"]}
+    draw = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    df = docs_of(spark, [draw("aa", 30) for _ in range(15)], "aa").union(docs_of(spark, [draw("bb", 30) for _ in range(15)], "bb")).union(docs_of(spark, [draw("cc", 30) for _ in range(15)], "cc"))
+    profiles = language.learn_profiles(df)
+    texts = [draw(lang, n) + end for lang in words for n in (1, 2, 7, 400) for end in ("", " 12! x", " " + draw("bb", 3))]
+    got = language.identify(docs_of(spark, texts), profiles).orderBy("doc_id").collect()
+    for t, r in zip(texts, got):
+        own = ranked(t)
+        apart = sorted((sum(abs(p.index(g) - i) if g in p else language.RANKS for i, g in enumerate(own)), name) for name, p in profiles.items())
+        assert r.lang_pred == apart[0][1] and r.score == pytest.approx(min(1.0, 2 * (1 - apart[0][0] / apart[1][0])))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_neighbours_of_many_lists_reach_the_wanted_recall(spark, monkeypatch, kind):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((25, 24)) * 2
+    x = (centres[rng.integers(0, 25, 3000)] + rng.standard_normal((3000, 24))).astype(np.float32 if kind == "float" else float)
+    x[7] = x[0]
+    monkeypatch.setattr(neighbours, "CHUNK", 128)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = neighbours.search(df, df.where("vec_id % 50 = 0")).collect()
+    hits = 0
+    for q in range(0, 3000, 50):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        d[q] = np.inf
+        mine = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [m[0] for m in mine] == list(range(1, 11)) and all(s == pytest.approx(d[i], rel=1e-12) for _, i, s in mine)
+        hits += len({m[1] for m in mine} & set(np.lexsort((np.arange(3000), d))[:10].tolist()))
+    assert hits / 600 >= 0.9
+
+
+@pytest.mark.parametrize(("query", "column", "least"), [("quality", "quality", 0.95), ("toxicity", "toxic", 0.9)])
+def test_classifiers_are_right_on_documents_they_did_not_learn_from(spark, query, column, least):
+    sf = "/root/testdata/sf0.01"
+    run = {"quality": quality.op1_quality, "toxicity": toxicity.op7_toxicity}[query]
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", column)
+    got = run(spark, sf).where("held_out").join(labels, "doc_id").select("predicted", column).toPandas()
+    assert len(got) > 50 and (got["predicted"] == got[column]).mean() >= least
+
+
+def test_languages_of_documents_not_learned_from(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    got = language.op6_language(spark, sf).where("held_out").join(docs, "doc_id").where("lang is not null and lang_pred <> 'und'").toPandas()
+    assert len(got) > 50 and (got["lang_pred"] == got["lang"]).mean() >= 0.95
+
+
+def test_operators_of_empty_tables(spark):
+    none = docs_of(spark, ["x"]).where("false")
+    assert fingerprints.edited_report(none).count() == 0 and bpe.encode(none).count() == 0 and language.identify(none, {}).count() == 0
+    assert quality.score(none, quality.learn(none, labels_of(spark, [0, 1], "quality"))).count() == 0
+    assert neardup.near_duplicates(none).count() == 0

@@ -34,3 +34,14 @@ def test_pipeline_takes_empty_tables_and_nulls(spark, sf_dir):
     for part in (docs.where("false"), docs.where("doc_id < 40").selectExpr("doc_id", "cast(null as string) text", "cast(null as string) lang", "cast(null as string) source", "n_chars")):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, part, sf_dir).count() <= 40
+
+
+def test_near_dedup_stage_is_that_of_brute_force(spark, sf_dir):
+    from tests.llm.test_operators import brute_components
+
+    docs = table(spark, sf_dir, "documents")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    roots = brute_components([t for _, t in rows], 5, 80)
+    want = [rows[i][0] for i, root in enumerate(roots) if root == i]
+    assert len(want) < len(rows)
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, sf_dir).collect()) == want
