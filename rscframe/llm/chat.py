@@ -123,8 +123,8 @@ def settled(edges: DataFrame, work: Workspace) -> tuple[DataFrame, bool]:
     return now.groupBy("conv_id", "turn").agg(F.struct(k["t"].alias("t"), k["s"].alias("s")).alias("k"), (F.count("parent") > 0).alias("open")), not left
 
 
-def ordered(messages: DataFrame, work: Workspace) -> DataFrame:
-    """messages with order_turn, order_step, ordered."""
+def places(messages: DataFrame, work: Workspace) -> DataFrame:
+    """(conv_id, turn, k, _stuck) of the messages that do not simply keep their turn."""
     calls = messages.where("calls is not null").select("conv_id", "turn", F.explode("calls").alias("c"))
     owner = calls.groupBy("conv_id", F.col("c.id").alias("id")).agg(F.min("turn").alias("parent"))
     results = messages.where("result_for is not null").select("conv_id", F.col("result_for").alias("id"), "turn")
@@ -145,21 +145,27 @@ def ordered(messages: DataFrame, work: Workspace) -> DataFrame:
             stuck = back.where("open").select("conv_id", "turn")
             keys, _ = settled(edges.join(stuck, ["conv_id", "turn"], "left_anti"), work)
             late = keys.join(stuck.withColumn("_stuck", F.lit(True)), ["conv_id", "turn"], "full").select("conv_id", "turn", "k", "_stuck")
-    out = messages.join(late, ["conv_id", "turn"], "left")
-    return out.select(*[F.col(c) for c in messages.columns], F.coalesce(F.col("k.t"), F.col("turn")).alias("order_turn"), F.coalesce(F.col("k.s").cast("int"), F.lit(0)).alias("order_step"), F.col("_stuck").isNull().alias("ordered"))
+    return late
 
 
 def format_messages(messages: DataFrame, schemas: dict) -> DataFrame:
     """conv_id, turn, role, order_turn, order_step, ordered, n_calls, linked, valid, json of every message."""
     work = Workspace(messages.sparkSession)
+    messages = work.cut(messages)  # texts are parsed once; what follows reads the columns it needs
     calls = messages.where("calls is not null").select("conv_id", F.explode("calls").alias("c"))
     made = calls.groupBy("conv_id", F.col("c.id").alias("result_for")).agg(F.lit(True).alias("_made"))
-    rows = ordered(messages, work).join(made, ["conv_id", "result_for"], "left")
+    late = places(messages, work)
     # answered calls of each turn
     answered = messages.where("result_for is not null").select("conv_id", F.col("result_for").alias("id")).distinct().withColumn("_answered", F.lit(True))
     asked = messages.where("calls is not null").select("conv_id", "turn", F.explode("calls.id").alias("id")).distinct()
     asked = asked.join(answered, ["conv_id", "id"], "left").groupBy("conv_id", "turn").agg(F.min(F.col("_answered").isNotNull()).alias("_all"))
-    rows = rows.join(asked, ["conv_id", "turn"], "left")
+    # what is known of a message comes together without its texts, which are shuffled once
+    known = messages.select("conv_id", "turn", "result_for").distinct().join(late, ["conv_id", "turn"], "left")
+    known = known.join(made, ["conv_id", "result_for"], "left").join(asked, ["conv_id", "turn"], "left")
+    known = known.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("result_for").alias("_for"), "k", "_stuck", "_made", "_all")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")) & F.col("result_for").eqNullSafe(F.col("_for"))
+    rows = messages.join(known, same)
+    order = [F.coalesce("k.t", "turn").alias("order_turn"), F.coalesce(F.col("k.s").cast("int"), F.lit(0)).alias("order_step"), F.col("_stuck").isNull().alias("ordered")]
     has = F.coalesce(F.size("calls"), F.lit(0)) > 0
     n = F.when(has, F.size("calls")).otherwise(0)
     linked = F.when(F.col("result_for").isNotNull(), F.col("_made").isNotNull()).when(has, F.coalesce("_all", F.lit(False)))
@@ -168,7 +174,7 @@ def format_messages(messages: DataFrame, schemas: dict) -> DataFrame:
     parts += [F.when(F.col("result_for").isNotNull(), F.concat(F.lit('"tool_call_id":'), quoted(F.col("result_for"))))]
     parts += [F.when(has, F.concat(F.lit('"tool_calls":['), F.concat_ws(",", F.transform("calls", call_json)), F.lit("]")))]
     json = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    return rows.select("conv_id", "turn", "role", "order_turn", "order_step", "ordered", n.alias("n_calls"), linked.alias("linked"), valid.alias("valid"), json.alias("json"))
+    return rows.select("conv_id", "turn", "role", *order, n.alias("n_calls"), linked.alias("linked"), valid.alias("valid"), json.alias("json"))
 
 
 def op5_chat(spark, sf_dir: str) -> DataFrame:
